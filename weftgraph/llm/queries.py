@@ -7,20 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import tokens
+from weftgraph.llm import split, tokens
 from weftgraph.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered pieces of every page above 2,000 characters; one set of pieces for each different reading of a page."""
+    pages = table(spark, d, "parsed_documents").select("doc_id", "text")
+    return split.split_documents(pages).dropDuplicates(["doc_id", "text_key", "piece_no"])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that had to be split."""
+    pages = table(spark, d, "parsed_documents").select("doc_id", "text")
+    return split.split_documents(pages).filter("n_pieces > 1 and piece_no = 1").select("doc_id").distinct()
+
+
+P1_FOUND = "SELECT DISTINCT doc_id FROM parsed_documents WHERE length(text) > 2000"
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_FOUND}
