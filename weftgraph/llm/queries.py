@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import split, tokens
+from weftgraph.llm import history, split, tokens
 from weftgraph.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,13 +28,32 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 P1_FOUND = "SELECT DISTINCT doc_id FROM parsed_documents WHERE length(text) > 2000"
 
 
+def _repeats(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "parsed_documents").select(F.col("doc_id").alias("item"), "batch_no", "text")
+    nodes = table(spark, d, "entities").filter("normalized_name IS NOT NULL")
+    block = F.concat_ws(":", F.coalesce("namespace", F.lit("")), F.coalesce("entity_type", F.lit("")))
+    names = nodes.select(F.concat(block, F.lit(":"), "normalized_name").alias("item"), "batch_no", block.alias("block"), F.col("normalized_name").alias("name"))
+    return history.dedupe_batches(pages, names)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats and near repeats of what was accepted before, as pairs of keys."""
+    r = _repeats(spark, d)
+    return r.select("kind", F.least("item", "target").alias("key_a"), F.greatest("item", "target").alias("key_b")).distinct()
+
+
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats of each batch by kind and way."""
+    return _repeats(spark, d).groupBy("kind", "batch_no", "how").agg(F.count("*").alias("n_repeats"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_batches": p2_batches, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
