@@ -1,9 +1,15 @@
 """All queries of the core library."""
 
+from __future__ import annotations
+
+from weftgraph.plans import references
+
+_MODULES = (references,)
+
 
 def queries():
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
