@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import history, split, tokens
+from weftgraph.llm import canonical, components, history, split, survivors, tokens
+from weftgraph.functions.text import UNKNOWN_VALUES, normalize_name
 from weftgraph.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,14 +48,80 @@ def p2_batches(spark: SparkSession, d: str) -> DataFrame:
     return _repeats(spark, d).groupBy("kind", "batch_no", "how").agg(F.count("*").alias("n_repeats"))
 
 
+ASSET_FIELDS = ["name", "owner", "tier", "site", "lifecycle", "summary"]
+
+
+def _survivors(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "extracted_entities")
+    fields = {f: F.col("name") if f == "name" else F.col("properties")[f] for f in ASSET_FIELDS}
+    return survivors.survivors(rows, F.upper(F.trim(F.col("properties")["asset_tag"])), fields, F.col("confidence"), F.col("extracted_at"), ["doc_id", "idx"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The record whose value survives, for each field of each registered thing."""
+    return _survivors(spark, d).select(F.col("group_key").alias("asset_tag"), "field", "doc_id", "idx")
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    """One built record for each registered thing."""
+    return survivors.merged_records(_survivors(spark, d), ASSET_FIELDS).withColumnRenamed("group_key", "asset_tag")
+
+
+_LIST = ", ".join(f"'{v}'" for v in UNKNOWN_VALUES)
+_P3 = f"""
+WITH e AS (SELECT upper(trim(map_extract(properties, 'asset_tag')[1])) AS asset_tag, doc_id, idx, confidence, extracted_at, name, properties FROM extracted_entities),
+g AS (SELECT asset_tag FROM e WHERE trim(asset_tag) <> '' GROUP BY asset_tag HAVING count(DISTINCT (doc_id, idx)) > 1),
+v AS (SELECT asset_tag, doc_id, idx, confidence, extracted_at, 'name' AS field, name AS value FROM e
+      {" ".join(f"UNION ALL SELECT asset_tag, doc_id, idx, confidence, extracted_at, '{f}', map_extract(properties, '{f}')[1] FROM e" for f in ASSET_FIELDS[1:])}),
+r AS (SELECT *, row_number() OVER (PARTITION BY asset_tag, field ORDER BY CASE WHEN confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) THEN -confidence ELSE 2 END, extracted_at DESC NULLS LAST, doc_id NULLS LAST, idx NULLS LAST, value) AS n
+      FROM v JOIN g USING (asset_tag) WHERE regexp_matches(lower(trim(value)), '[\\p{{L}}\\p{{N}}]') AND lower(trim(value)) NOT IN ({_LIST}))
+"""
+P3_FOUND = _P3 + "SELECT asset_tag, field, doc_id, idx FROM r WHERE n = 1"
+P3_RECORDS = _P3 + f"SELECT asset_tag, {', '.join(f"max(value) FILTER (field = '{f}') AS {f}" for f in ASSET_FIELDS)} FROM r WHERE n = 1 GROUP BY asset_tag"
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The definition meant by each typed entity type."""
+    rows = table(spark, d, "extracted_entities").select("doc_id", "idx", "entity_type")
+    return canonical.map_rows(rows, "entity_type", table(spark, d, "entity_defs")).select("doc_id", "idx", F.col("mapped_id").alias("entity_type_id")).distinct()
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values that fit no definition, with their rows."""
+    rows = table(spark, d, "extracted_entities").select("doc_id", "idx", "entity_type")
+    mapped = canonical.map_rows(rows, "entity_type", table(spark, d, "entity_defs")).filter("mapped_id = 'unmatched'")
+    return mapped.groupBy("entity_type").agg(F.count("*").alias("n_rows"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every node that accepted pairs join."""
+    pairs = table(spark, d, "similar_pairs").filter("accepted")
+    block = F.concat(F.coalesce("namespace", F.lit("")), F.lit("\u0001"), F.coalesce("entity_type", F.lit("")), F.lit("\u0001"))
+    ends = pairs.select(F.concat(block, normalize_name("name_a")).alias("a"), F.concat(block, normalize_name("name_b")).alias("b"))
+    groups = components.hash_to_min(ends.distinct())
+    part = lambda c, i: F.split_part(F.col(c), F.lit("\u0001"), F.lit(i))
+    return groups.select(part("vertex", 1).alias("namespace"), part("vertex", 2).alias("entity_type"), part("vertex", 3).alias("normalized_name"), part("group_min", 3).alias("group_name"))
+
+
+P5_FOUND = """
+WITH RECURSIVE p AS (SELECT DISTINCT coalesce(namespace, '') AS namespace, coalesce(entity_type, '') AS entity_type,
+    trim(regexp_replace(regexp_replace(lower(regexp_replace(name_a, '\\([^)]*\\)', '', 'g')), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')) AS a,
+    trim(regexp_replace(regexp_replace(lower(regexp_replace(name_b, '\\([^)]*\\)', '', 'g')), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')) AS b
+    FROM similar_pairs WHERE accepted AND name_a IS NOT NULL AND name_b IS NOT NULL),
+e AS (SELECT namespace, entity_type, a, b FROM p WHERE a <> b UNION SELECT namespace, entity_type, b, a FROM p WHERE a <> b),
+reach(namespace, entity_type, v, u) AS (SELECT namespace, entity_type, a, a FROM e UNION SELECT r.namespace, r.entity_type, r.v, e.b FROM reach r JOIN e ON e.namespace = r.namespace AND e.entity_type = r.entity_type AND e.a = r.u)
+SELECT namespace, entity_type, v AS normalized_name, min(u) AS group_name FROM reach GROUP BY namespace, entity_type, v
+"""
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_batches": p2_batches, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_records": P3_RECORDS, "p5_found": P5_FOUND}
