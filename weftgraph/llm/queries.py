@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import canonical, components, history, split, survivors, tokens
+from weftgraph.llm import canonical, components, history, packing, reading, split, survivors, tokens, variants
 from weftgraph.functions.text import UNKNOWN_VALUES, normalize_name
 from weftgraph.session import table
 
@@ -114,13 +114,60 @@ SELECT namespace, entity_type, v AS normalized_name, min(u) AS group_name FROM r
 """
 
 
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "extracted_entities")
+    listed = F.explode(F.from_json(F.col("properties")["aliases"], "array<string>"))
+    given = rows.filter(F.col("properties")["aliases"].isNotNull()).select("name", listed.alias("alias"))
+    said = variants.response_aliases(table(spark, d, "extraction_raw")).unionByName(given).filter("name IS NOT NULL AND alias IS NOT NULL")
+    return variants.link_variants(rows.select("name"), said, table(spark, d, "norm_dict"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of spellings that name the same entity."""
+    return variants.variant_pairs(_variants(spark, d))
+
+
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every known name with its entity and the entity's number of spellings."""
+    linked = _variants(spark, d)
+    return linked.join(linked.groupBy("entity").agg(F.count("*").alias("n_spellings")), "entity")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.count_tokens(table(spark, d, "documents").select("doc_id", "text")))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, sized in tokens of byte_bpe_50k."""
+    return _packed(spark, d).select("doc_id", "piece_no", "token_start", "n_tokens", "container")
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(_packed(spark, d))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_grades"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of English prose at the hardest level."""
+    return _levels(spark, d).filter(f"prose AND grade = {reading.GRADES}").select("doc_id").distinct()
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Reading level of every document of English prose."""
+    return _levels(spark, d).filter("prose").select("doc_id", F.round("level", 3).alias("level"), "grade")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_entities": p7_entities, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_levels": p10_levels}
 
 
 def oracle_sql() -> dict[str, str]:
