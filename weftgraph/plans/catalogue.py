@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import references
+from weftgraph.plans import extract, graph, references, text
 
-_MODULES = (references,)
+_MODULES = (references, graph, text, extract)
 
 
 def queries():
