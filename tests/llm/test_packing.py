@@ -8,7 +8,7 @@ from weftgraph.llm import packing
 def test_local_search_keeps_items_and_helps():
     rng = random.Random(4)
     for trial in range(30):
-        sizes = np.array([rng.randint(1, 100) for _ in range(rng.randint(0, 60))], np.int64)
+        sizes = np.array([rng.randint(1, 60) for _ in range(rng.randint(0, 60))], np.int64)
         bad = [[i] for i in range(len(sizes))]  # the worst start: one item a bin
         bins = packing.local_search([list(b) for b in bad], sizes, 100)
         assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
@@ -17,7 +17,7 @@ def test_local_search_keeps_items_and_helps():
         assert all(sizes[b].sum() <= 100 for b in best)
         fewest = -(-int(sizes.sum()) // 100)
         assert len(best) <= max(fewest + 1, fewest * 1.12)
-        assert len(bins) <= len(bad)
+        assert len(bins) <= max(fewest + 2, fewest * 1.2)
 
 
 def test_two_for_one_step():
@@ -28,7 +28,7 @@ def test_two_for_one_step():
 
 def test_pack(spark):
     rng = random.Random(9)
-    rows = [(i, rng.choice([0, 1, 7, 300, 700, 1500, 2048, 2049, 5000])) for i in range(400)] + [(900, None), (901, 3), (901, 3)]
+    rows = [(i, rng.choice([0, 2048, 2049, 5000, *range(1, 900, 13)])) for i in range(400)] + [(900, None), (901, 3), (901, 3)]
     df = spark.createDataFrame(rows, "doc_id bigint, n_tokens int")
     out = packing.pack(df).collect()
     fills = {}
@@ -37,7 +37,7 @@ def test_pack(spark):
     assert max(fills.values()) <= 2048
     total = sum(n or 0 for _, n in rows)
     assert sum(fills.values()) == total
-    assert len(fills) <= -(-total // 2048) + 2
+    assert len(fills) <= -(-total // 2048) + 1
     by_doc = {}
     for r in out:
         by_doc.setdefault(r.doc_id, []).append(r)
