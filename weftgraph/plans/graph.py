@@ -63,7 +63,7 @@ located AS (SELECT *, {norm_sql("name")} AS normalized_name FROM (SELECT DISTINC
     FROM extracted_entities e JOIN (SELECT doc_id, min(namespace) AS namespace FROM parsed_documents GROUP BY doc_id) h USING (doc_id)
     WHERE regexp_matches(lower(trim(e.name)), '[\\p{{L}}\\p{{N}}]') AND lower(trim(e.name)) NOT IN ({_UNKNOWN}) AND trim(e.entity_type) <> '' AND coalesce(e.confidence, 1.0) BETWEEN 0 AND 1)
     WHERE {norm_sql("name")} <> ''),
-entity AS (SELECT namespace, entity_type, normalized_name, name, epoch_ms(extracted_at) AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY namespace, entity_type, normalized_name ORDER BY extracted_at NULLS FIRST, doc_id, idx NULLS FIRST, name) AS n FROM located) WHERE n = 1),
+entity AS (SELECT namespace, entity_type, normalized_name, name, epoch_us(extracted_at) // 1000 AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY namespace, entity_type, normalized_name ORDER BY extracted_at NULLS FIRST, doc_id, idx NULLS FIRST, name) AS n FROM located) WHERE n = 1),
 mention AS (SELECT namespace, doc_id, entity_type, normalized_name, confidence FROM (SELECT *, row_number() OVER (PARTITION BY namespace, doc_id, entity_type, normalized_name ORDER BY extracted_at DESC NULLS LAST, idx DESC NULLS LAST, confidence DESC, name DESC) AS n FROM located) WHERE n = 1),
 ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY extracted_at NULLS FIRST, entity_type, name, confidence) AS n FROM located) WHERE n = 1),
 relation AS (SELECT namespace, src_type, src_norm, rel_type, dst_type, dst_norm, confidence FROM (SELECT *, row_number() OVER (PARTITION BY namespace, src_type, src_norm, rel_type, dst_type, dst_norm ORDER BY extracted_at DESC NULLS LAST, doc_id DESC, rel_pos DESC NULLS LAST, confidence DESC) AS n FROM

@@ -186,7 +186,7 @@ def link_rows(documents: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, folder: str, pattern: str = "*.html", roots=ROOTS) -> DataFrame:
     """Pages of a folder (not of its subfolders); a missing or empty folder raises as Spark does."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    pages = files.select("path", F.decode("content", F.lit("UTF-8")).alias("page"))
+    pages = files.select("path", F.decode("content", "UTF-8").alias("page"))
     return parse_pages(pages, "path", "page", roots=roots)
 
 
