@@ -45,3 +45,9 @@ def test_bad_arguments(tables):
         orphans(refs, ["k"], targets, ["k", "i"])
     with pytest.raises(ValueError):
         orphans(refs, ["k"], targets, ["k"], "loose")
+
+
+def test_clashing_names(tables):
+    refs, targets = tables
+    out = orphans(refs.withColumnRenamed("id", "state"), ["k", "i"], targets, ["k", "i"])
+    assert out.columns == ["k", "i", "at", "state"] and {r.state for r in out.collect()} == {"missing"}

@@ -21,7 +21,7 @@ def orphans(refs: DataFrame, ref_columns: list[str], targets: DataFrame, key_col
     ``state`` is 'missing', 'partial key', or, where both time columns are given, 'late' if the earliest target is later than the
     reference (a null time is never late). Repeated references stay repeated; targets are reduced to one row a key before the join, so a key of any
     frequency is shuffled once a map task and never multiplies rows. Columns of ``targets`` other than the keys and time are not
-    read, so clashing names do no harm. Empty targets make every reference 'missing'.
+    read, so clashing names do no harm; a column ``state`` of ``refs`` gives way to this one. Empty targets make every reference 'missing'.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
@@ -30,7 +30,7 @@ def orphans(refs: DataFrame, ref_columns: list[str], targets: DataFrame, key_col
     timed = ref_time is not None and target_time is not None
     names = [f"__key{i}" for i in range(len(key_columns))]
     keyed = targets.select(*(targets[k].alias(n) for k, n in zip(key_columns, names)), (targets[target_time] if timed else F.lit(None)).alias("__since"))
-    shown = refs.columns
+    shown = [c for c in refs.columns if c != "state"]
     bits = reduce(lambda a, b: a + b, (F.when(refs[c].isNull(), 1 << i).otherwise(0) for i, c in enumerate(ref_columns)))
     marked = refs.withColumn("__mask", bits)
     every = (1 << len(ref_columns)) - 1
