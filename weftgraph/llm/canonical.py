@@ -33,7 +33,7 @@ def map_values(values: DataFrame, value: str, phrases: DataFrame) -> DataFrame:
     """``(value, entity_type_id, phrase, jaccard)`` of every distinct non-null value; the last three are null where nothing fits.
 
     Values are reduced to distinct plain words first (map-side combined), so a value of any frequency is compared once. Candidates share a rare
-    n-gram (prefix filter), reach a Jaccard of ``THRESHOLD`` exactly, and are taken if it is ``SURE`` or the edit distance is at most ``EDITS`` of
+    n-gram (prefix filter), reach a Jaccard of ``THRESHOLD`` exactly, and are taken if it is ``SURE``, if one is the other with words cut short, or if the edit distance is at most ``EDITS`` of
     the length; the best Jaccard wins, then the smaller distance, then the smaller id. Values without letters or digits match nothing.
     """
     distinct = values.select(F.col(value).alias("value")).filter("value IS NOT NULL").distinct().withColumn("words", plain_words(F.col("value")))
@@ -41,7 +41,9 @@ def map_values(values: DataFrame, value: str, phrases: DataFrame) -> DataFrame:
     known = phrases.withColumnRenamed("phrase", "words").withColumn("grams", word_grams(F.col("words"), GRAM))
     pairs = similarity_join(typed.select("words", "grams"), known.select("words", "grams"), "words", "grams", THRESHOLD)
     edits = F.levenshtein(F.regexp_replace("left_key", " ", ""), F.regexp_replace("right_key", " ", ""))
-    good = pairs.withColumn("edits", edits).filter((F.col("jaccard") >= SURE) | (F.col("edits") <= F.floor(F.greatest(F.length("left_key"), F.length("right_key")) * EDITS)))
+    a, b = F.split("left_key", " "), F.split("right_key", " ")
+    shortened = (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: (F.least(F.length(x), F.length(y)) >= 3) & (x.startswith(y) | y.startswith(x))), lambda ok: ok)
+    good = pairs.withColumn("edits", edits).filter((F.col("jaccard") >= SURE) | shortened | (F.col("edits") <= F.floor(F.greatest(F.length("left_key"), F.length("right_key")) * EDITS)))
     good = good.join(known.select(F.col("words").alias("right_key"), "entity_type_id"), "right_key")
     best = good.groupBy("left_key").agg(F.min(F.struct(-F.col("jaccard"), "edits", "entity_type_id", F.col("right_key").alias("phrase"), "jaccard")).alias("b"))
     best = best.select(F.col("left_key").alias("words"), "b.entity_type_id", "b.phrase", "b.jaccard")
@@ -49,9 +51,12 @@ def map_values(values: DataFrame, value: str, phrases: DataFrame) -> DataFrame:
 
 
 def map_rows(rows: DataFrame, value: str, definitions: DataFrame) -> DataFrame:
-    """``rows`` with ``mapped_id``: rows whose value is null, blank or already an id are left out; 'unmatched' where nothing fits."""
+    """``rows`` with ``mapped_id``: rows whose value is null, blank or already an id are left out; 'unmatched' where nothing fits.
+
+    Repeated rows stay repeated; a column ``mapped_id`` of ``rows`` gives way to this one.
+    """
     ids = definitions.select(F.col("entity_type_id").alias("__id")).filter("__id IS NOT NULL").distinct()
     open_ = rows.filter(F.regexp_replace(F.col(value), r"(?U)\s", "") != "").join(ids, F.col(value) == F.col("__id"), "left_anti")
     mapped = map_values(open_, value, canonical_phrases(definitions)).select(F.col("value").alias("__value"), F.col("entity_type_id").alias("__mapped"))
     joined = open_.join(mapped, open_[value] == mapped["__value"], "left")
-    return joined.select(*rows.columns, F.coalesce("__mapped", F.lit("unmatched")).alias("mapped_id"))
+    return joined.select(*(c for c in rows.columns if c != "mapped_id"), F.coalesce("__mapped", F.lit("unmatched")).alias("mapped_id"))
