@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.setjoin import similarity_join, word_grams
+from weftgraph.session import materialize
 
 GRAM = 2
 THRESHOLD = 0.3
@@ -36,7 +37,7 @@ def map_values(values: DataFrame, value: str, phrases: DataFrame) -> DataFrame:
     n-gram (prefix filter), reach a Jaccard of ``THRESHOLD`` exactly, and are taken if it is ``SURE``, if one is the other with words cut short, or if the edit distance is at most ``EDITS`` of
     the length; the best Jaccard wins, then the smaller distance, then the smaller id. Values without letters or digits match nothing.
     """
-    distinct = values.select(F.col(value).alias("value")).filter("value IS NOT NULL").distinct().withColumn("words", plain_words(F.col("value")))
+    distinct = materialize(values.select(F.col(value).alias("value")).filter("value IS NOT NULL").distinct(), "values").withColumn("words", plain_words(F.col("value")))
     typed = distinct.select("words").distinct().filter("words <> ''").withColumn("grams", word_grams(F.col("words"), GRAM))
     known = phrases.withColumnRenamed("phrase", "words").withColumn("grams", word_grams(F.col("words"), GRAM))
     pairs = similarity_join(typed.select("words", "grams"), known.select("words", "grams"), "words", "grams", THRESHOLD)
