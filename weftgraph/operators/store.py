@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import errors
 from weftgraph.functions.text import normalize_name
-from weftgraph.operators import lookup, upsert
+from weftgraph.operators import lookup, upsert, vectors
 from weftgraph.schemas import KEYS, SCHEMAS
 from weftgraph.session import delete, prepare
 
@@ -153,6 +153,27 @@ class GraphStore:
                 self._swap(t, self.table(t).filter(F.col("namespace") != namespace))
         return n
 
+    # vectors
+    def add_embeddings(self, rows: DataFrame) -> None:
+        """(namespace, entity_type, entity_name, embedding[, metadata]), keyed by namespace:type:name; the last in name order replaces an earlier one."""
+        ident = vectors.vector_id(F.col("namespace"), F.col("entity_type"), F.col("entity_name"))
+        staged = upsert.first_wins(rows.withColumn("entity_id", ident), KEYS["embeddings"], ["entity_name"])
+        self._swap("embeddings", upsert.overwrite(self.table("embeddings"), staged, KEYS["embeddings"]))
+
+    def search_similar(self, queries: DataFrame, limit: int = 5, threshold: float = 0.85) -> DataFrame:
+        """Neighbours of (namespace, entity_type, vec_id, embedding) rows: (query_id, vec_id, score, rank); the threshold comes after the top-k."""
+        base = self.table("embeddings").select("namespace", "entity_type", F.col("entity_id").alias("vec_id"), "embedding")
+        return vectors.nearest(queries, base, ["namespace", "entity_type"], limit, threshold)
+
+    def vector_stats(self) -> DataFrame:
+        return self.table("embeddings").groupBy("namespace").agg(F.count("*").alias("n_vectors"))
+
+    def delete_vectors(self, namespace: str) -> int:
+        gone = self.table("embeddings").filter(F.col("namespace") == namespace).count()
+        if gone:
+            self._swap("embeddings", self.table("embeddings").filter(F.col("namespace") != namespace))
+        return gone
+
     def document_exists(self, namespace: str, doc_id: str) -> bool:
         return not lookup.get_document(self.table("docs"), namespace, doc_id).isEmpty()
 

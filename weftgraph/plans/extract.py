@@ -151,3 +151,40 @@ _add(
     lambda s, d: table(s, d, "parsed_documents").agg(F.count("*").alias("n_docs"), F.sum(F.coalesce(F.size("links"), F.lit(0))).alias("n_links"), F.sum(F.char_length("text")).alias("n_chars")),
     "SELECT count(*) AS n_docs, sum(coalesce(len(links), 0))::BIGINT AS n_links, sum(length(text))::BIGINT AS n_chars FROM parsed_documents",
 )
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "parsed_documents").select("doc_id", "title", "text", "breadcrumb", "source_file", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    return rows.distinct()
+
+
+_add(
+    "markdown_export", lambda s, d: html.markdown_files(_docs(s, d)),
+    """SELECT doc_id, '# ' || coalesce(title, '') || E'\n\n- id: ' || doc_id || E'\n- source: ' || coalesce(source_file, '') || E'\n- path: ' || coalesce(array_to_string(breadcrumb, ' → '), '') || E'\n- hash: ' || content_hash || E'\n\n' || coalesce(text, '') AS body
+    FROM (SELECT DISTINCT doc_id, title, text, breadcrumb, source_file, sha256(coalesce(text, '')) AS content_hash FROM parsed_documents)""",
+)
+_add(
+    "prompts", lambda s, d: _docs(s, d).select("doc_id", F.sha2(extraction.prompt("Types: {{ENTITY_TYPE_DEFINITIONS}} Text: {{TEXT}}", "a, b", F.coalesce("text", F.lit(""))), 256).alias("prompt_hash")).distinct(),
+    "SELECT DISTINCT doc_id, sha256('Types: a, b Text: ' || coalesce(text, '')) AS prompt_hash FROM parsed_documents",
+)
+_add("index_records", lambda s, d: html.index_records(_docs(s, d)))
+
+
+def export_entities(spark: SparkSession, d: str) -> DataFrame:
+    from weftgraph.plans.graph import entities
+
+    return ontology.export_definitions(entities(spark, d))
+
+
+def _export_sql() -> str:
+    from weftgraph.plans.graph import BASE as GRAPH
+
+    return GRAPH + "SELECT entity_type, '# ID: ' || entity_type || E'\\n## Examples:\\n' || string_agg('### ' || name, E'\\n' ORDER BY name) AS body FROM (SELECT DISTINCT entity_type, name FROM entity) GROUP BY entity_type"
+
+
+_add("export_entities", export_entities, _export_sql())
+_add(
+    "alias_lists",
+    lambda s, d: extraction.entity_rows(_decoded(s, d)).filter("properties['aliases'] IS NOT NULL").select("entity_type", "name", F.explode(F.from_json(F.col("properties")["aliases"], "array<string>")).alias("alias")).groupBy("entity_type", "name").agg(F.array_join(F.array_sort(F.collect_set("alias")), "|").alias("aliases")),
+    BASE + "SELECT entity_type, name, string_agg(alias, '|' ORDER BY alias) AS aliases FROM (SELECT DISTINCT entity_type, name, unnest(CAST(json_extract(item, '$.aliases') AS VARCHAR[])) AS alias FROM ok WHERE json_extract(item, '$.aliases') IS NOT NULL) GROUP BY ALL",
+)
