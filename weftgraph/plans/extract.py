@@ -188,3 +188,21 @@ _add(
     lambda s, d: extraction.entity_rows(_decoded(s, d)).filter("properties['aliases'] IS NOT NULL").select("entity_type", "name", F.explode(F.from_json(F.col("properties")["aliases"], "array<string>")).alias("alias")).groupBy("entity_type", "name").agg(F.array_join(F.array_sort(F.collect_set("alias")), "|").alias("aliases")),
     BASE + "SELECT entity_type, name, string_agg(alias, '|' ORDER BY alias) AS aliases FROM (SELECT DISTINCT entity_type, name, unnest(CAST(json_extract(item, '$.aliases') AS VARCHAR[])) AS alias FROM ok WHERE json_extract(item, '$.aliases') IS NOT NULL) GROUP BY ALL",
 )
+
+
+def review_script(spark: SparkSession, d: str) -> DataFrame:
+    """A script for every document: drop the second entity, rename the first, end; what follows the end doesn't count."""
+    ents = extraction.entity_rows(_decoded(spark, d)).select("doc_id", "idx", "entity_type", "name").distinct()
+    ents = ents.groupBy("doc_id", "idx").agg(F.min(F.struct("entity_type", "name")).alias("x")).select("doc_id", "idx", "x.entity_type", "x.name")
+    steps = [(1, "delete", 2, None, None), (2, "edit", 1, None, "renamed"), (3, "done", None, None, None), (4, "delete", 1, None, None)]
+    columns = (("seq", "int"), ("action", "string"), ("n", "int"), ("m", "int"), ("new_name", "string"))
+    script = F.array(*(F.struct(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(step, columns))) for step in steps))
+    edits = ents.select("doc_id").distinct().select("doc_id", F.explode(script).alias("s")).select("doc_id", "s.*")
+    return extraction.review(ents, edits)
+
+
+_add(
+    "review_script", review_script,
+    BASE + """, u AS (SELECT doc_id, idx, min((entity_type, name)) AS x FROM ok GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM u)
+    SELECT doc_id, idx, x[1] AS entity_type, CASE WHEN n = 1 THEN 'renamed' ELSE x[2] END AS name FROM k WHERE n <> 2""",
+)
