@@ -45,3 +45,44 @@ def test_ontology(spark, tmp_path):
     assert ("product", "unknown target team") in warnings and ("other", "no relations") in warnings
     assert ontology.by_type(defs, ["PRODUCT"]).count() == 1 and ontology.by_type(defs, ["zzz"]).count() == 2
     assert "# ID: product" in ontology.render(defs)
+
+
+TEXT = """# Head & <b>
+
+First line
+second **line** with [a](b.html) & 5 < 6
+
+- one
+  - nested
+- two
+1. first
+2. second
+5. not an item
+
+> quoted
+
+| a | b |
+|---|---|
+| c | d e |
+
+```python
+x = "<a>"
+
+    y && z
+```
+Last""" + " word" * 20_000
+
+
+def test_page_markdown_holds_the_text(spark, tmp_path):
+    from weftgraph.plans import extract
+
+    rows = [("1", 0, "T", TEXT, [("u.html", "link")]), ("2", 0, None, "only text", None), ("3", 0, "T", None, None)]
+    spark.createDataFrame(rows, "doc_id string, batch_no int, title string, text string, links array<struct<url: string, text: string>>").write.parquet(str(tmp_path / "parsed_documents.parquet"))
+    got = {r.doc_id: r for r in extract.QUERIES["page_markdown"](spark, str(tmp_path)).collect()}
+    text = {k.removeprefix("Page_"): r.text for k, r in got.items()}
+    words = lambda s: [w for w in s.replace("|---|---|", "").replace("```python", "python ```").replace("|", " ").split()]
+    assert words(text["1"]) == [*words(TEXT), "-", "[link](u.html)"]
+    for part in ("# Head & <b>\n", "First line\nsecond", "- one\n  - nested\n- two", "1. first\n2. second", 'x = "<a>"\n\n    y && z\n```', "c | d e |"):
+        assert part in text["1"], part
+    assert text["2"] == "only text" and text["3"] == "" and len({r.content_hash for r in got.values()}) == 3
+    assert {r.title for r in extract.QUERIES["page_titles"](spark, str(tmp_path)).collect()} == {"T"}

@@ -131,17 +131,24 @@ _add("ontology_conformance", ontology_conformance, _conformance_sql())
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """The documents as HTML pages, to be parsed again."""
-    rows = table(spark, d, "parsed_documents").filter("text IS NOT NULL AND title IS NOT NULL").select("doc_id", "batch_no", "title", "links").withColumn("links", F.expr("filter(coalesce(links, array()), l -> l.url IS NOT NULL)"))
+    """The documents as HTML pages with their whole text, to be parsed again; a null title gives no title, a null text an empty page."""
+    rows = table(spark, d, "parsed_documents").select("doc_id", "batch_no", "title", "text", "links").withColumn("links", F.expr("filter(coalesce(links, array()), l -> l.url IS NOT NULL)"))
     escape = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     anchors = F.array_join(F.transform("links", lambda x: F.concat(F.lit('<li><a href="'), F.replace(escape(x["url"]), F.lit('"'), F.lit("&quot;")), F.lit('">'), escape(F.coalesce(x["text"], F.lit(""))), F.lit("</a></li>"))), "")
-    page = F.concat(F.lit("<html><head><title>Space : "), escape(F.col("title")), F.lit("</title></head><body><div id='main-content'><h2>Part</h2><ul>"), anchors, F.lit("</ul></div></body></html>"))
-    return rows.select("doc_id", "batch_no", F.concat(F.lit("Page_"), "doc_id", F.lit(".html")).alias("file"), page.alias("html"))
+    body = F.pandas_udf(lambda texts: texts.map(html.page_body), "string")(F.coalesce("text", F.lit("")))
+    head = F.coalesce(F.concat(F.lit("<title>Space : "), escape(F.col("title")), F.lit("</title>")), F.lit(""))
+    content = F.when(F.col("text").isNull(), "").otherwise(F.concat(body, F.lit("<ul>"), anchors, F.lit("</ul>")))
+    page = F.concat(F.lit("<html><head>"), head, F.lit("</head><body><div id='main-content'>"), content, F.lit("</div></body></html>"))
+    return rows.select("doc_id", "batch_no", "title", "text", F.concat(F.lit("Page_"), "doc_id", F.lit(".html")).alias("file"), page.alias("html"))
 
 
-_add("page_titles", lambda s, d: html.parse_pages(_pages(s, d), "file", "html", ["batch_no"]).select("doc_id", "title").distinct(), "SELECT DISTINCT coalesce(nullif(regexp_extract('Page_' || doc_id || '.html', '_(\\d+)\\.html$', 1), ''), 'Page_' || doc_id) AS doc_id, trim(title) AS title FROM parsed_documents WHERE text IS NOT NULL AND title IS NOT NULL")
+def _filled_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).filter("text IS NOT NULL AND title IS NOT NULL")
+
+
+_add("page_titles", lambda s, d: html.parse_pages(_filled_pages(s, d), "file", "html", ["batch_no"]).select("doc_id", "title").distinct(), "SELECT DISTINCT coalesce(nullif(regexp_extract('Page_' || doc_id || '.html', '_(\\d+)\\.html$', 1), ''), 'Page_' || doc_id) AS doc_id, trim(title) AS title FROM parsed_documents WHERE text IS NOT NULL AND title IS NOT NULL")
 _add(
-    "page_links", lambda s, d: html.link_rows(html.parse_pages(_pages(s, d), "file", "html", ["batch_no"])).select("url", "link_type").groupBy("url", "link_type").agg(F.count("*").alias("n")),
+    "page_links", lambda s, d: html.link_rows(html.parse_pages(_filled_pages(s, d), "file", "html", ["batch_no"])).select("url", "link_type").groupBy("url", "link_type").agg(F.count("*").alias("n")),
     """SELECT url, CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN 'external' ELSE 'internal' END AS link_type, count(*) AS n FROM (SELECT unnest(links).url AS url FROM parsed_documents WHERE text IS NOT NULL AND title IS NOT NULL)
     WHERE url <> '' AND NOT starts_with(url, '#') AND (url LIKE 'http://%' OR url LIKE 'https://%' OR url LIKE '%.html') GROUP BY ALL""",
 )

@@ -139,6 +139,82 @@ def parse_html(page: str | None, roots=ROOTS) -> tuple:
     return ((span or h1).text().strip() if h1 else None, title.text().strip() if title else None, [a.text().strip() for a in crumbs.all("a")] if crumbs else [], markdown, hrefs)
 
 
+_FENCE = re.compile(r"\s*(```+|~~~+)")
+_HEADING = re.compile(r"(#{1,6})[ \t]+(.*)")
+_ITEM = re.compile(r"([ \t]*)(?:[-*+]|(\d+)[.)])[ \t]+(.*)")
+_RULE = re.compile(r"\s*\|?[\s:|-]*-[\s:|-]*\|?\s*")
+
+
+def _escape(s: str) -> str:
+    return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def page_body(text: str | None) -> str:
+    """The HTML of a Markdown text: headings, lists, tables and fences become elements, all else escaped paragraphs."""
+    out, held, lists = [], [], []  # lists: open ones as [indent, tag, last number]
+    lines = (text or "").split("\n")
+
+    def flush():
+        if held:
+            out.append("<p>" + "<br>".join(held) + "</p>")
+            held.clear()
+
+    def close(indent: int = -1):
+        while lists and lists[-1][0] > indent:
+            out.append(f"</li></{lists.pop()[1]}>")
+
+    at = 0
+    while at < len(lines):
+        line = lines[at].rstrip("\r")
+        at += 1
+        if m := _FENCE.match(line):
+            flush()
+            close()
+            code = []
+            while at < len(lines) and not lines[at].strip().startswith(m[1]):
+                code.append(lines[at])
+                at += 1
+            at += 1
+            note = line[m.end() :].strip()  # the language, or whatever stands behind the mark
+            out.append((f"<p>{_escape(note)}</p>" if note else "") + "<pre><code>" + _escape("\n".join(code)) + "</code></pre>")
+        elif m := _HEADING.fullmatch(line):
+            flush()
+            close()
+            out.append(f"<h{len(m[1])}>{_escape(m[2])}</h{len(m[1])}>")
+        elif line.lstrip().startswith("|"):
+            flush()
+            close()
+            rows = [line]
+            while at < len(lines) and lines[at].lstrip().startswith("|"):
+                rows.append(lines[at])
+                at += 1
+            cells = [[_escape(c.strip()) for c in r.strip().removeprefix("|").removesuffix("|").split("|")] for n, r in enumerate(rows) if n != 1 or not _RULE.fullmatch(r)]
+            out.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in cells) + "</table>")
+        elif (m := _ITEM.fullmatch(line)) and (m[2] is None or int(m[2][:9]) == 1 or any(x[0] == len(m[1]) and x[2] + 1 == int(m[2][:9]) for x in lists)):
+            flush()
+            indent, tag = len(m[1].expandtabs(4)), "ol" if m[2] else "ul"
+            close(indent)
+            if lists and lists[-1][0] == indent and lists[-1][1] != tag:
+                close(indent - 1)
+            if lists and lists[-1][0] == indent:
+                out.append("</li>")
+                lists[-1][2] = int(m[2][:9]) if m[2] else 0
+            else:
+                out.append(f"<{tag}>")
+                lists.append([indent, tag, int(m[2][:9]) if m[2] else 0])
+            out.append("<li>" + _escape(m[3]))
+        elif not line.strip():
+            flush()
+        elif lists and line[0] in " \t":
+            out.append("<br>" + _escape(line.strip()))
+        else:
+            close()
+            held.append(_escape(line))
+    flush()
+    close()
+    return "".join(out)
+
+
 def document_id(file: Column) -> Column:
     """The number before .html, else the file's stem."""
     number = F.regexp_extract(file, r"_(\d+)\.html$", 1)
