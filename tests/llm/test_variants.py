@@ -1,4 +1,5 @@
 import json
+import random
 
 from weftgraph.llm import variants as v
 
@@ -54,3 +55,30 @@ def test_empty_and_responses(spark):
     raws = [body, "Here:\n```json\n" + body + "\n```", "{broken aliases", None, '["aliases"]', '{"entities": "aliases"}']
     df = spark.createDataFrame([(r,) for r in raws], "raw_response string")
     assert [tuple(r) for r in v.response_aliases(df).collect()] == [("A", "B"), ("A", "B")]
+
+
+def test_token_keys_are_complete():
+    rng = random.Random(3)
+    words = ["theodore", "ted", "teddy", "partners", "ptnrs", "part", "anna", "anni", "anneliese"]
+    for _ in range(400):
+        word = "".join(rng.choice("abcdeimnrst") for _ in range(rng.randint(3, 14)))
+        other = list(word)
+        for _ in range(rng.randint(1, 2)):
+            i = rng.randrange(len(other) - 1)
+            other[i : i + 2] = rng.choice([other[i : i + 2][::-1], other[i : i + 1], [rng.choice("abcde"), other[i + 1]], [other[i], "x", other[i + 1]]])
+            other = other if len(other) > 2 else list(word)
+        words += [word, "".join(other), word[0] + "".join(c for c in word[1:] if c not in "aeiou")[:3]]
+    keys = {w: v.token_keys(w) for w in set(words)}
+    meets = lambda a, b: any((k, {0: 0, 1: 2, 2: 1}[side]) in keys[b] for k, side in keys[a])
+    for a in keys:
+        for b in keys:
+            if a < b and min(len(a), len(b)) > 1 and v.soft_match(a, b) > 0.5:
+                assert meets(a, b), (a, b)
+
+
+def test_slips_beside_a_frequent_token(spark):
+    rng = random.Random(4)
+    names = ["Theodore " + "".join(rng.choice("bdfgklmnprtvz") for _ in range(10)) for _ in range(30)]
+    pairs = [("Theodore Smith", "Theodore Smtih"), ("Theodore Zeka", "Theodore Zoka"), ("Theodore Hjalwumo", "Theodore Hjlawmuo"), ("Theodore Partners", "Theodore Ptnrs")]
+    got = link(spark, names + [n for p in pairs for n in p])
+    assert set(pairs) <= got

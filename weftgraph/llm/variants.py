@@ -1,6 +1,7 @@
 """Problem 7: linking variant spellings of names.
 
-Names become *forms* (sorted plain tokens). Tokens that look alike are found by a prefix-filtered set-similarity join on their q-grams. Candidate
+Names become *forms* (sorted plain tokens). Tokens that look alike are found by a prefix-filtered set-similarity join on their q-grams and, completely
+for what the verifier accepts, by deletion neighbourhoods (slips) and by prefixes and consonants (abbreviations). Candidate
 forms share, exactly or alike, a rare token of one of them; they are verified by a soft weighted token alignment in which rare tokens count more. Pairs that
 leave a token of both sides unmatched are different names (relatives, sister companies); pairs in which one side lacks or abbreviates a token
 down to an initial are *weak*: they link only if all they could mean is one entity. Aliases given by responses link further.
@@ -24,6 +25,7 @@ from weftgraph.session import discard, materialize
 GRAM = 3
 THRESHOLD = 0.2
 SOFT = 0.8
+SHORT = 16
 #: A token in more forms than this number and share is looked up only for forms that have no rarer one.
 RARE_FORMS, RARE_SHARE = 20, 0.003
 
@@ -132,6 +134,50 @@ def soft_match(a: str, b: str) -> float:
     return 0.0
 
 
+def _deletions(s: str, most: int) -> set[str]:
+    out = step = {s}
+    for _ in range(most):
+        step = {t[:i] + t[i + 1 :] for t in step for i in range(len(t))}
+        out = out | step
+    return out
+
+
+def token_keys(token: str) -> set[tuple[str, int]]:
+    """Keys (key, side) at which all pairs meet that ``soft_match`` finds alike: slips at a key of side 0, short (1) and full (2) tokens at each other's.
+
+    Tokens longer than ``SHORT`` give no deletions: two slips leave them more than ``THRESHOLD`` of their grams.
+    """
+    keys = {("=" + NICKNAMES.get(token, token), 0)}
+    for word in {token, NICKNAMES.get(token, token)}:
+        if 4 <= len(word) <= SHORT + 2:
+            keys |= {("-" + d, 0) for d in _deletions(word, 2 if len(word) >= 8 else 1)}
+    n, rest = len(token), [c for c in token[1:] if c not in "aeiou"]
+    if n >= 3:
+        keys.add(("^" + token, 1))
+        keys |= {("^" + token[:k], 2) for k in range(3, n - 1)}
+        if len(rest) == n - 1:
+            keys.add(("~" + token[:3], 1))
+        keys |= {("~" + token[0] + c + d, 2) for i, c in enumerate(rest) for d in rest[i + 1 :]}
+    return keys
+
+
+def soft_pairs(tokens: DataFrame) -> DataFrame:
+    """``(token, other)``, token < other: all pairs of different tokens of two or more letters that ``soft_match`` finds alike, but slips in long ones."""
+
+    def spread(batches):
+        for batch in batches:
+            rows = [(t, *k) for t in batch.column(0).to_pylist() for k in token_keys(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], ["token", "key", "side"])
+
+    def verify(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([soft_match(a, b) > 0.5 for a, b in zip(*(c.to_pylist() for c in batch.columns))], pa.bool_()))
+
+    keys = tokens.filter(F.length("token") > 1).select("token").mapInArrow(spread, "token string, key string, side int")
+    met = keys.join(keys.toDF("other", "key", "other_side"), "key").filter("token <> other AND (side = 0 AND other_side = 0 OR side = 1 AND other_side = 2)")
+    return met.select(F.least("token", "other").alias("token"), F.greatest("token", "other").alias("other")).distinct().mapInArrow(verify, "token string, other string")
+
+
 def compare(a: list[str], wa: list[float], b: list[str], wb: list[float]) -> int:
     """2: the same name; 1: a lacks or abbreviates what b has; -1: the other way round; 0: not shown to be the same."""
     found = sorted(((soft_match(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), key=lambda m: -m[0] * (wa[m[1]] + wb[m[2]]) if m[0] > 0.5 else 1)
@@ -219,11 +265,13 @@ def link_variants(names: DataFrame, aliases: DataFrame, dictionary: DataFrame) -
     counts = keep(counts, "tokens")
     words_of = counts.filter(F.length("token") >= 4).select("token", word_grams(F.col("token"), GRAM).alias("grams"))
     near = similarity_join(words_of, words_of, "token", "grams", THRESHOLD, same=True).select(F.col("left_key").alias("token"), F.col("right_key").alias("other"))
-    slips = F.when(F.least(F.length("token"), F.length("other")) >= 8, 3).otherwise(2)
+    slips = F.when(F.least(F.length("token"), F.length("other")) >= 8, 4).otherwise(2)
     near = near.filter((F.levenshtein("token", "other") <= slips) & (F.abs(F.length("token") - F.length("other")) <= 2))
-    alike = keep(near.unionByName(near.select(F.col("other").alias("token"), F.col("token").alias("other"))), "alike")
+    near = near.withColumn("by_grams", F.lit(True)).unionByName(soft_pairs(counts).withColumn("by_grams", F.lit(False)))
+    near = near.groupBy("token", "other").agg(F.max("by_grams").alias("by_grams"))
+    alike = keep(near.unionByName(near.select(F.col("other").alias("token"), F.col("token").alias("other"), "by_grams")), "alike")
     # a slip in a frequent word is not a rare token: it counts as often as the word it looks like
-    often = alike.join(counts.toDF("other", "m"), "other").groupBy("token").agg(F.max("m").alias("m"))
+    often = alike.filter("by_grams").join(counts.toDF("other", "m"), "other").groupBy("token").agg(F.max("m").alias("m"))
     rarity = counts.join(often, "token", "left").select("token", "n", F.greatest("n", F.coalesce("m", F.lit(0))).alias("r"))
     weight = F.log1p(F.lit(total) / F.col("n"))
     ranked = each.join(rarity, "token")
