@@ -7,20 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings every plan of the library is written for; only what the session leaves unset is filled in.
-DEFAULTS = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-}
-
 #: Bytes of one Arrow batch sent to a Python worker; bounds worker memory for very long texts.
 ARROW_BATCH_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Fill in runtime settings the library relies on (idempotent)."""
+    """Set what the library's plans rely on (idempotent): maps merge with the last value, Arrow batches stay below ARROW_BATCH_BYTES."""
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     return spark
@@ -67,6 +59,34 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none where it is missing."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written aside and renamed, so that it is there whole or not at all."""
+    jvm = spark.sparkContext._jvm
+    target, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.tmp"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    fs.rename(aside, target)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    source = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables of a data folder."""
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
