@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import materialize
+
 MATCHES = ("simple", "partial", "full")
 
 
@@ -19,8 +21,8 @@ def orphans(refs: DataFrame, ref_columns: list[str], targets: DataFrame, key_col
     is no reference, any other null makes it an orphan ('partial key').
 
     ``state`` is 'missing', 'partial key', or, where both time columns are given, 'late' if the earliest target is later than the
-    reference (a null time is never late). Repeated references stay repeated; targets are reduced to one row a key before the join, so a key of any
-    frequency is shuffled once a map task and never multiplies rows. Columns of ``targets`` other than the keys and time are not
+    reference (a null time is never late). Repeated references stay repeated; targets are reduced to one row a key and written before the join, so a key of any
+    frequency is shuffled once a map task, never multiplies rows, and the references to a popular key are split over tasks by AQE. Columns of ``targets`` other than the keys and time are not
     read, so clashing names do no harm; a column ``state`` of ``refs`` gives way to this one. Empty targets make every reference 'missing'.
     """
     if match not in MATCHES:
@@ -44,6 +46,7 @@ def orphans(refs: DataFrame, ref_columns: list[str], targets: DataFrame, key_col
             continue
         on = [(c, n) for i, (c, n) in enumerate(zip(ref_columns, names)) if not mask >> i & 1]
         known = keyed.dropna(subset=[n for _, n in on]).groupBy(*(n for _, n in on)).agg(F.min("__since").alias("__since"), F.lit(True).alias("__there"))
+        known = materialize(known, "targets")
         joined = some.join(known, [some[c] == known[n] for c, n in on], "left")
         state = F.when(F.col("__there").isNull(), "missing")
         if timed:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.similarity import jaro_winkler, letter_counts, may_reach_jaro_winkler, may_reach_sequence, sequence_ratio
 from weftgraph.functions.text import normalize_text
+from weftgraph.session import materialize
 
 
 def dictionary(lines: DataFrame) -> DataFrame:
@@ -20,9 +21,9 @@ def dictionary(lines: DataFrame) -> DataFrame:
 def expand_names(df: DataFrame, name: str, lines: DataFrame) -> DataFrame:
     """``df`` with ``expanded``: the display form, replaced by the dictionary's expansion where the whole name is a key.
 
-    Spark broadcasts the dictionary if its size allows, and joins by key otherwise.
+    Spark broadcasts the dictionary, a written table of known size, if that allows, and joins by key otherwise, where AQE splits a frequent name.
     """
-    known = dictionary(lines).toDF("__key", "__value")
+    known = materialize(dictionary(lines), "dictionary").toDF("__key", "__value")
     joined = df.withColumn("__plain", normalize_text(name)).join(known, F.col("__plain") == F.col("__key"), "left")
     return joined.withColumn("expanded", normalize_text(F.coalesce("__value", "__plain"))).drop("__plain", "__key", "__value")
 
