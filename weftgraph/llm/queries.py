@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import canonical, components, history, packing, reading, split, survivors, tokens, variants
+from weftgraph.llm import canonical, components, history, nicknames, packing, reading, split, survivors, tokens, variants
 from weftgraph.functions.text import UNKNOWN_VALUES, normalize_name
 from weftgraph.session import table
 
@@ -119,7 +119,8 @@ def _variants(spark: SparkSession, d: str) -> DataFrame:
     listed = F.explode(F.from_json(F.col("properties")["aliases"], "array<string>"))
     given = rows.filter(F.col("properties")["aliases"].isNotNull()).select("name", listed.alias("alias"))
     said = variants.response_aliases(table(spark, d, "extraction_raw")).unionByName(given).filter("name IS NOT NULL AND alias IS NOT NULL")
-    return variants.link_variants(rows.select("name"), said, table(spark, d, "norm_dict"))
+    shorts = spark.createDataFrame(nicknames.short_forms(), "short string, full string")
+    return variants.link_variants(rows.select("name"), said, table(spark, d, "norm_dict"), shorts, nicknames.SYNONYMS)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import materialize
+
 
 def word_grams(c: Column, n: int) -> Column:
     """Numbered n-grams of the words of a string, each word padded; the order of the words doesn't matter.
@@ -25,7 +27,8 @@ def similarity_join(left: DataFrame, right: DataFrame, key: str, tokens: str, th
     ``n - ceil(t n) + 1`` rarest of each set are joined (two sets that reach the threshold must share one of them); the length and
     positional filters drop most of what meets, and the Jaccard of the rest is computed on the whole sets. With ``same`` the
     sides are one table and each pair comes once, left_key < right_key. Rows with null keys, null or empty token arrays have no pairs.
-    A token is joined the more rarely the more rows hold it: frequent tokens fall out of the prefixes; what is left of skew AQE splits.
+    A token is joined the more rarely the more rows hold it: frequent tokens fall out of the prefixes. The counts are written first, so that AQE splits the rows of
+    a frequent token where they are looked up.
     """
     def sized(df: DataFrame) -> DataFrame:
         return df.select(F.col(key).alias("key"), F.col(tokens).alias("tokens")).filter(F.col("key").isNotNull() & (F.size("tokens") > 0))
@@ -33,6 +36,7 @@ def similarity_join(left: DataFrame, right: DataFrame, key: str, tokens: str, th
     left, right = sized(left), sized(right)
     each = left if same else left.unionByName(right)
     counts = each.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "counts")
 
     def prefixes(df: DataFrame) -> DataFrame:
         rows = df.select("key", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(counts, "token")
