@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftgraph.llm.canonical import map_rows, map_values
+from weftgraph.llm.canonical import listed_words, map_rows, map_values
 from weftgraph.llm.components import hash_to_min
 from weftgraph.llm.setjoin import similarity_join, word_grams
 
@@ -30,7 +30,7 @@ def test_canonical(spark):
     )
     rows = [(1, "person"), (2, " person "), (3, "Perosn"), (4, "DataStore"), (5, "store, data"), (6, "lunch menu"), (7, None), (8, "  "), (9, "???"), (10, "DB"), (11, "Staff-Member"), (12, "staff members"), (3, "Perosn")]
     df = spark.createDataFrame(rows, "id int, value string")
-    got = sorted((r.id, r.mapped_id) for r in map_rows(df, "value", defs).collect())
+    got = sorted((r.id, r.mapped_id) for r in map_rows(df, "value", defs, listed_words(F.col("description"), r"(?i)also called:\s*(.*)$")).collect())
     assert got == [(2, "person"), (3, "person"), (3, "person"), (4, "data_store"), (5, "data_store"), (6, "unmatched"), (9, "unmatched"), (10, "data_store"), (11, "person"), (12, "person")]
     assert map_rows(df.limit(0), "value", defs).collect() == []
     assert {r.mapped_id for r in map_rows(df, "value", defs.limit(0)).collect()} == {"unmatched"}

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.session import materialize
+from weftgraph.session import discard, materialize
 
 CAPACITY = 2_048
+#: Items of a group that is packed in one task, and the fill below which a group's bins are packed once more with those of other groups (parameters of :func:`pack`).
 GROUP_ITEMS = 8_192
-PARTNERS = 64
+LOOSE = 0.98
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -58,18 +59,25 @@ def _transfer(small: list[int], large: list[int], room: int, sizes: np.ndarray)
 
 
 def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Empty the least filled bins into fuller ones while that raises the sum of squared fills; stops at the least possible number of bins."""
+    """Empty the least filled bins into fuller ones while that raises the sum of squared fills.
+
+    A bin is given up only when no exchange with any other underfull bin is left, and is tried again whenever another bin has been emptied. Ends at the least possible
+    number of bins, or when no exchange helps any bin.
+    """
     fill = [int(sizes[b].sum()) for b in bins]
     fewest = -(-int(sizes.sum()) // capacity) if len(sizes) else 0
     order = sorted((f, k) for k, f in enumerate(fill) if f < capacity)
-    alive = len(bins)
-    while alive > fewest and len(order) > 1:
-        _, low = order.pop(0)
+    alive, stuck = len(bins), set()
+    while alive > fewest:
+        low = next((k for _, k in order if k not in stuck), None)
+        if low is None or len(order) < 2:
+            break
+        order.remove((fill[low], low))
         moved = True
         while moved and bins[low]:
             moved = False
-            for f, k in sorted(order, key=lambda x: x[0])[:PARTNERS]:  # the partners with the most room
-                found = _transfer(bins[low], bins[k], capacity - fill[k], sizes)
+            for f, k in order:  # the partners with the most room first
+                found = _transfer(bins[low], bins[k], capacity - f, sizes)
                 if not found:
                     continue
                 given, taken = found
@@ -81,14 +89,18 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> lis
                     bisect.insort(order, (fill[k], k))
                 moved = True
                 break
-        if not bins[low]:
+        if bins[low]:
+            stuck.add(low)
+            bisect.insort(order, (fill[low], low))
+        else:
             alive -= 1
+            stuck.clear()
     return [b for b in bins if b]
 
 
-def _fill(items: DataFrame, key: str, capacity: int, stage: str) -> DataFrame:
-    """Bins of hash groups of about GROUP_ITEMS items; the number of groups follows the number of items."""
-    groups = max(1, -(-items.count() // GROUP_ITEMS))
+def _fill(items: DataFrame, key: str, capacity: int, stage: str, group_items: int) -> DataFrame:
+    """Bins of hash groups of about ``group_items`` items; the number of groups follows the number of items, and each group is a task of its own but for chance."""
+    groups = max(1, -(-items.count() // group_items))
     schema = T.StructType([*items.schema.fields, T.StructField("container", T.StringType()), T.StructField("filled", T.IntegerType())])
 
     def run(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -101,16 +113,16 @@ def _fill(items: DataFrame, key: str, capacity: int, stage: str) -> DataFrame:
         return frame.assign(container=[f"{stage}{group[0]}-{n}" for n in at], filled=full)
 
     grouped = items.withColumn("__group", F.pmod(F.xxhash64(key, "piece_no"), F.lit(groups)))
-    return grouped.groupBy("__group").applyInPandas(run, schema)
+    return grouped.repartition(groups, "__group").groupBy("__group").applyInPandas(run, schema)
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, loose: float = LOOSE) -> DataFrame:
     """Container of every item: ``(key, piece_no, token_start, n_tokens, container, filled)``.
 
     ``sizes`` is (key, n_tokens), one row an item. An item above the capacity is cut into full pieces and a rest, others stay whole; items
-    null or of no tokens need no place and give no row. Items are spread by hash into groups of about GROUP_ITEMS, each packed by best fit and swap-based local search;
-    what lies in bins left underfull by their group is packed once more together, so the waste does not grow with the number of
-    groups. Ties are taken in key order. Repeated rows are items of their own. Empty tables give an empty result.
+    null or of no tokens need no place and give no row. Items are spread by hash into groups of about ``group_items``, each packed by best fit and swap-based local search;
+    what lies in bins that their group left filled below ``loose`` is packed once more together. So a group wastes at most 1 - ``loose`` of its space, and the last open bins of the second pass, one for every
+    ``group_items`` of loose items. The result is a written table. Ties are taken in key order. Repeated rows are items of their own. Empty tables give an empty result.
     """
     start = F.explode(F.sequence(F.lit(0), F.col("n_tokens") - 1, F.lit(capacity)))
     sizes = sizes.withColumn("n_tokens", F.col("n_tokens").cast("int"))
@@ -118,10 +130,12 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
     pieces = pieces.select(key, (F.col("token_start") / capacity).cast("int").alias("piece_no"), "token_start", F.least(F.lit(capacity), F.col("all") - F.col("token_start")).cast("int").alias("n_tokens"))
     pieces = materialize(pieces, "pieces")
     whole = pieces.filter(F.col("n_tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("w"), F.col(key).cast("string"), "piece_no")).withColumn("filled", F.col("n_tokens"))
-    first = materialize(_fill(pieces.filter(F.col("n_tokens") < capacity), key, capacity, "a"), "packed")
-    loose = first.filter(F.col("filled") < int(capacity * 0.98))
-    again = _fill(loose.drop("container", "filled"), key, capacity, "b")
-    out = whole.unionByName(first.filter(F.col("filled") >= int(capacity * 0.98))).unionByName(again)
+    first = materialize(_fill(pieces.filter(F.col("n_tokens") < capacity), key, capacity, "a", group_items), "packed")
+    tight = F.col("filled") >= int(capacity * loose)
+    again = _fill(first.filter(~tight).drop("container", "filled"), key, capacity, "b", group_items)
+    out = materialize(whole.unionByName(first.filter(tight)).unionByName(again), "containers")
+    discard(pieces)
+    discard(first)
     return out
 
 

@@ -26,6 +26,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return split.split_documents(pages).filter("n_pieces > 1 and piece_no = 1").select("doc_id").distinct()
 
 
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each split text put together again from the new parts of its pieces, with whether all pieces keep to the limit and the overlap."""
+    p = p1_pieces(spark, d)
+    fits = (F.char_length("piece") <= split.LIMIT) & (F.char_length("piece") == F.col("end") - F.col("start"))
+    laps = F.when(F.col("piece_no") == 1, F.col("new_from") == F.col("start")).otherwise((F.col("new_from") - F.col("start")).between(1, split.OVERLAP))
+    new = F.struct("piece_no", F.expr("substring(piece, new_from - start + 1)").alias("new"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(new)), lambda x: x["new"]), "")
+    each = p.groupBy("doc_id", "text_key", "n_pieces").agg(whole.alias("text"), F.bool_and(fits & laps).alias("good"), F.count("*").alias("n"))
+    return each.select("doc_id", F.md5("text").alias("text_md5"), F.char_length("text").alias("n_chars"), (F.col("good") & (F.col("n") == F.col("n_pieces"))).alias("good"))
+
+
+P1_REBUILT = "SELECT DISTINCT doc_id, md5(text) AS text_md5, length(text)::INT AS n_chars, true AS good FROM parsed_documents WHERE length(text) > 2000"
 P1_FOUND = "SELECT DISTINCT doc_id FROM parsed_documents WHERE length(text) > 2000"
 
 
@@ -80,17 +92,24 @@ P3_FOUND = _P3 + "SELECT asset_tag, field, doc_id, idx FROM r WHERE n = 1"
 P3_RECORDS = _P3 + f"SELECT asset_tag, {', '.join(f"max(value) FILTER (field = '{f}') AS {f}" for f in ASSET_FIELDS)} FROM r WHERE n = 1 GROUP BY asset_tag"
 
 
+#: How these data decorate types and list other words in use (fixed values).
+TYPE_NOISE = r"^\s*type\s*:"
+OTHER_WORDS = r"(?i)also called:\s*(.*)$"
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "extracted_entities").select("doc_id", "idx", "entity_type")
+    return canonical.map_rows(rows, "entity_type", table(spark, d, "entity_defs"), canonical.listed_words(F.col("description"), OTHER_WORDS), TYPE_NOISE)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The definition meant by each typed entity type."""
-    rows = table(spark, d, "extracted_entities").select("doc_id", "idx", "entity_type")
-    return canonical.map_rows(rows, "entity_type", table(spark, d, "entity_defs")).select("doc_id", "idx", F.col("mapped_id").alias("entity_type_id")).distinct()
+    return _mapped(spark, d).select("doc_id", "idx", F.col("mapped_id").alias("entity_type_id")).distinct()
 
 
 def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Typed values that fit no definition, with their rows."""
-    rows = table(spark, d, "extracted_entities").select("doc_id", "idx", "entity_type")
-    mapped = canonical.map_rows(rows, "entity_type", table(spark, d, "entity_defs")).filter("mapped_id = 'unmatched'")
-    return mapped.groupBy("entity_type").agg(F.count("*").alias("n_rows"))
+    return _mapped(spark, d).filter("mapped_id = 'unmatched'").groupBy("entity_type").agg(F.count("*").alias("n_rows"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -168,8 +187,8 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_entities": p7_entities, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_levels": p10_levels}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_rebuilt": p1_rebuilt, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_entities": p7_entities, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_levels": p10_levels}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_records": P3_RECORDS, "p5_found": P5_FOUND}
+    return {"p1_found": P1_FOUND, "p1_rebuilt": P1_REBUILT, "p3_found": P3_FOUND, "p3_records": P3_RECORDS, "p5_found": P5_FOUND}

@@ -44,8 +44,8 @@ def _children(text: str, start: int, end: int, level: int, fences: list[tuple[in
 
 
 def _safe_cut(text: str, start: int, cut: int) -> int:
-    """A cut that does not part a base character from its combining marks or joiners, where one is near."""
-    least = max(start + 1, cut - 32)
+    """A cut that does not part a base character from its combining marks or joiners, unless there is none in the whole span."""
+    least = start + 1
     at = cut
     while at > least and at < len(text) and (unicodedata.combining(text[at]) or text[at] in "‍️" or text[at - 1] == "‍"):
         at -= 1
@@ -66,70 +66,52 @@ def _overlap_start(text: str, start: int, end: int, overlap: int) -> int:
     return _safe_cut(text, low, low + 1) if low + 1 < end else low
 
 
+def _pack(text: str, start: int, end: int, level: int, most: int, fences: list[tuple[int, int]]) -> list[tuple[int, int, bool]]:
+    """Parts ``(start, end, heading)`` of a node, each at most ``most`` long: the node itself if it fits, else the parts of its children, siblings merged."""
+    if end - start <= most:
+        line = text.rfind("\n", start, start + len(text[start:end].rstrip()))
+        return [(start, end, bool(_IS_HEADING.match(text, max(start, line + 1))) and line < start)]
+    cuts, below = _children(text, start, end, level, fences)
+    if not cuts:  # a word
+        at, parts = start, []
+        while end - at > most:
+            cut = _safe_cut(text, at, at + most)
+            parts.append((at, cut, False))
+            at = cut
+        return [*parts, (at, end, False)]
+    edges = [start, *cuts, end]
+    return _merged([p for a, b in zip(edges, edges[1:]) for p in _pack(text, a, b, below, most, fences)], most)
+
+
+def _merged(parts: list[tuple[int, int, bool]], most: int) -> list[tuple[int, int, bool]]:
+    """Neighbours joined from left to right while they fit, which gives the fewest parts; headings at the end of a part move to what they head if that leaves both within the limit."""
+    out: list[list[tuple[int, int, bool]]] = []
+    for part in parts:
+        if out and part[1] - out[-1][0][0] <= most:
+            out[-1].append(part)
+            continue
+        moved: list[tuple[int, int, bool]] = []
+        while out and len(out[-1]) > 1 and out[-1][-1][2] and part[1] - out[-1][-1][0] <= most:
+            moved.insert(0, out[-1].pop())
+        out.append([*moved, part])
+    return [(g[0][0], g[-1][1], len(g) == 1 and g[0][2]) for g in out]
+
+
 def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """Pieces as ``(start, new, end)`` code-point offsets: ``[start, new)`` repeats the piece before, ``[new, end)`` is new.
 
-    The text is a tree: headings by level, blocks, list items and table rows, lines, sentences, words.
-    Sibling subtrees are merged up to the limit and only nodes that do not fit are opened; a heading moves on
-    to the piece of what it heads. A word above the limit is cut between characters. The new parts joined give
-    the text. Null and empty texts have no pieces, a text within the limit is one piece.
+    The text is a tree: headings by level, blocks, list items and table rows, lines, sentences, words. From the leaves up, sibling subtrees are merged as long as they fit
+    into a piece; only nodes that do not fit are opened. A heading moves on to the piece of what it heads. A word above the limit is cut between characters. The new
+    parts joined give the text. Null and empty texts have no pieces, a text within the limit is one piece.
     """
     if not text:
         return []
     if len(text) <= limit:
         return [(0, 0, len(text))]
     overlap = max(0, min(overlap, limit // 2))
-    later = limit - overlap
     fences = [m.span() for m in _FENCE.finditer(text)] if "```" in text or "~~~" in text else []
-    done: list[tuple[int, int]] = []
-    begin = here = 0  # the open piece
-
-    def room() -> int:
-        return (later if done else limit) - (here - begin)
-
-    def close() -> None:
-        nonlocal begin
-        cut = here
-        while cut > begin:  # headings at the end go with what follows
-            line = text.rfind("\n", begin, max(begin, len(text[begin:cut].rstrip()) + begin))
-            line = begin if line < 0 else line + 1
-            if line <= begin or not _IS_HEADING.match(text, line):
-                break
-            cut = line
-        if cut == begin:
-            cut = here
-        done.append((begin, cut))
-        begin = cut
-
-    stack = [(0, len(text), 0)]
-    while stack:
-        start, end, level = stack.pop()
-        size = end - start
-        if size <= room():
-            here = end
-            continue
-        cuts, below = _children(text, start, end, level, fences)
-        if here > begin and size <= later and (not cuts or here - begin >= limit // 4):
-            close()
-            stack.append((start, end, level))
-        elif cuts:
-            edges = [start, *cuts, end]
-            stack.extend((a, b, below) for a, b in reversed(list(zip(edges, edges[1:]))))
-        elif here > begin and (room() < limit // 4 or size <= later):
-            close()
-            stack.append((start, end, level))
-        else:
-            here = _safe_cut(text, start, start + room())
-            close()
-            stack.append((here, end, level))
-    if here > begin:
-        done.append((begin, here))
-    out, last = [], 0
-    for k, (a, b) in enumerate(done):
-        out.append((_overlap_start(text, done[k - 1][0], a, overlap) if k and overlap else a, a, b))
-        last = b
-    assert last == len(text)
-    return out
+    done = _pack(text, 0, len(text), 0, limit - overlap, fences)
+    return [(_overlap_start(text, done[k - 1][0], a, overlap) if k and overlap else a, a, b) for k, (a, b, _) in enumerate(done)]
 
 
 def split_documents(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
