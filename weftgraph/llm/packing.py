@@ -37,23 +37,28 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _transfer(small: list[int], large: list[int], room: int, sizes: np.ndarray) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """The exchange that carries most from one bin to a fuller one within its room: a move, one for one, two for one or one for two."""
+def _choices(members: list[int], sizes: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
+    """One or two items of a bin with their size, by size."""
+    ones = sorted((int(sizes[i]), i) for i in members)
+    both = [(ones[x][0] + ones[y][0], (ones[x][1], ones[y][1])) for x in range(len(ones)) for y in range(x)]
+    return sorted([(s, (i,)) for s, i in ones] + both)
+
+
+def _transfer(gives: list[tuple[int, tuple[int, ...]]], takes: list[tuple[int, tuple[int, ...]]], sums: list[int], room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+    """The exchange that carries most from one bin to a fuller one within its room: a move, one for one, two for one or one for two. ``sums`` are the sizes of ``takes``."""
     best, choice = 0, None
-    ones = sorted((int(sizes[i]), i) for i in small)
-    out_ones = sorted((int(sizes[j]), j) for j in large)
-    gives = [(s, (i,)) for s, i in ones] + [(ones[x][0] + ones[y][0], (ones[x][1], ones[y][1])) for x in range(len(ones)) for y in range(x)]
-    takes = [(0, ())] + [(s, (j,)) for s, j in out_ones] + [(out_ones[x][0] + out_ones[y][0], (out_ones[x][1], out_ones[y][1])) for x in range(len(out_ones)) for y in range(x)]
-    takes.sort()
-    sums = [t[0] for t in takes]
     for given, items in gives:
+        if given <= room:
+            if given > best:
+                best, choice = given, (items, ())
+            continue
         at = bisect.bisect_left(sums, given - room)  # the least that must come back
-        while at < len(takes) and sums[at] < given:
-            if len(items) == 2 and len(takes[at][1]) == 2:  # two for two is not among the steps
-                at += 1
-                continue
-            if given - sums[at] > best:
+        while at < len(takes) and given - sums[at] > best:
+            if len(items) == 1 or len(takes[at][1]) == 1:  # two for two is not among the steps
                 best, choice = given - sums[at], (items, takes[at][1])
+                break
+            at += 1
+        if best == room:
             break
     return choice
 
@@ -68,6 +73,14 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> lis
     fewest = -(-int(sizes.sum()) // capacity) if len(sizes) else 0
     order = sorted((f, k) for k, f in enumerate(fill) if f < capacity)
     alive, stuck = len(bins), set()
+    known: dict[int, tuple[list, list[int]]] = {}  # choices of a bin while it stays as it is
+
+    def choices(k: int) -> tuple[list, list[int]]:
+        if k not in known:
+            listed = _choices(bins[k], sizes)
+            known[k] = listed, [s for s, _ in listed]
+        return known[k]
+
     while alive > fewest:
         low = next((k for _, k in order if k not in stuck), None)
         if low is None or len(order) < 2:
@@ -77,13 +90,15 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> lis
         while moved and bins[low]:
             moved = False
             for f, k in order:  # the partners with the most room first
-                found = _transfer(bins[low], bins[k], capacity - f, sizes)
+                found = _transfer(choices(low)[0], *choices(k), capacity - f)
                 if not found:
                     continue
                 given, taken = found
                 bins[low] = [i for i in bins[low] if i not in given] + list(taken)
                 bins[k] = [j for j in bins[k] if j not in taken] + list(given)
                 order.remove((f, k))
+                known.pop(low, None)
+                known.pop(k, None)
                 fill[low], fill[k] = int(sizes[bins[low]].sum()), int(sizes[bins[k]].sum())
                 if fill[k] < capacity:
                     bisect.insort(order, (fill[k], k))
