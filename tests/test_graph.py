@@ -76,3 +76,49 @@ def test_merge_properties(spark):
     from pyspark.sql import functions as F
 
     assert [r.m for r in df.select(upsert.merge_properties(F.col("o"), F.col("n")).alias("m")).collect()] == [{"a": "1", "c": "3"}, {"x": "1"}]
+
+
+def test_single_calls_and_their_errors(spark, store):
+    store.create_document("ns1", "d1", "p", "h", "t", lang="en")
+    store.create_document("ns1", "d1", "p2", "h2", "t", size="3")
+    doc = store.get_document("ns1", "d1")
+    assert doc["source_path"] == "p2" and doc["properties"] == {"lang": "en", "size": "3"} and store.get_document("ns1", "no") is None
+    for name in ("Ann", "Bob"):
+        store.create_entity("ns1", "person", name)
+    store.create_relationship("ns1", "person", "ann", "person", "bob", "knows", 0.5, since="2019", place="x")
+    store.create_relationship("ns1", "person", "Ann", "person", "Bob", "KNOWS", 0.9, since="2021")
+    edge = store.table("relations").first()
+    assert (edge.confidence, edge.properties) == (0.9, {"since": "2021", "place": "x"}) and store.table("relations").count() == 1
+    store.add_mention("ns1", "d1", "person", "Ann", 0.7, line="4")
+    assert store.get_document_entities("ns1", "d1").first().name == "Ann" and store.find_related_documents("ns1", "person", "ann").first().doc_id == "d1"
+    for call, error in ((lambda: store.add_mention("ns1", "d9", "person", "Ann"), errors.DocumentNotFoundError), (lambda: store.add_mention("ns1", "d1", "person", "Cy"), errors.EntityNotFoundError), (lambda: store.create_relationship("ns1", "person", "ann", "person", "cy", "knows"), errors.EntityNotFoundError)):
+        with pytest.raises(error):
+            call()
+
+
+def test_only_touched_namespaces_are_written(spark, store):
+    for ns in ("a1", "b2"):
+        store.create_entity(ns, "person", "Ann")
+    before = store._manifest("entities")["versions"]
+    store.create_entity("b2", "person", "Bob")
+    after = store._manifest("entities")["versions"]
+    assert after["a1"] == before["a1"] and after["b2"] > before["b2"]
+    plan = store.table("entities")._jdf.filter("namespace = 'a1'").queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(namespace" in plan
+    assert store.table("entities", ["a1"]).count() == 1 and store.table("entities").count() == 3
+
+
+def test_merge_keeps_names_and_counts(spark, store):
+    fill(spark, store)
+    store.create_entity("ns1", "product", "Knowledge Discovry")
+    canonical = spark.createDataFrame([("ns1", "product", "knowledge discovery", "knowledge discovry")], "namespace string, entity_type string, duplicate string, canonical string")
+    assert store.merge_entities(canonical) == 3  # two mentions, one relation
+    assert store.get_entity("ns1", "product", "knowledge discovry")["properties"] == {"aliases": '["Knowledge Discovery (KD)"]'}
+
+
+def test_candidates(spark):
+    schema = "block string, name string, other string, score double"
+    fuzzy = spark.createDataFrame([("t", "a", f"x{k}", 0.8 + k / 100) for k in range(6)], schema)
+    vector = spark.createDataFrame([("t", "a", "x0", 0.99), ("t", "b", "y", 0.5)], schema)
+    rows = resolve.candidates(fuzzy, vector).orderBy("name", "rank").collect()
+    assert [(r.name, r.other, r.method) for r in rows][:2] == [("a", "x0", "vector"), ("a", "x5", "fuzzy")] and len(rows) == 6

@@ -51,3 +51,27 @@ def test_clashing_names(tables):
     refs, targets = tables
     out = orphans(refs.withColumnRenamed("id", "state"), ["k", "i"], targets, ["k", "i"])
     assert out.columns == ["k", "i", "at", "state"] and {r.state for r in out.collect()} == {"missing"}
+
+
+def test_a_popular_target_is_split(spark):
+    """The references to one key, a third of all, are split over tasks by AQE: the targets are written before the join."""
+    from pyspark.sql import functions as F
+
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        refs = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pad")).repartition(6)
+        targets = spark.range(0, 60_000, 2).select(F.col("id").alias("key")).union(spark.range(7, 8).toDF("key")).repartition(6)
+        found = orphans(refs, ["k"], targets, ["key"])
+        n = found.groupBy("state").count().collect()
+        df = found.select("k", "pad")
+        df.write.format("noop").mode("overwrite").save()
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [tuple(r) for r in n] == [("missing", 20_000 - 1)]
+    assert "skew=true" in plan

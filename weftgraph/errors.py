@@ -33,5 +33,13 @@ class ConfigurationError(ExtractionError):
     """The extractor can't be set up."""
 
 
+class PipelineError(Exception):
+    """A run was stopped by its failure policy; ``statistics`` is its row."""
+
+    def __init__(self, message: str, statistics: dict | None = None):
+        super().__init__(message)
+        self.statistics = statistics or {}
+
+
 class ParseError(ExtractionError):
     """The response can't be read."""

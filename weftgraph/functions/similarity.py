@@ -76,10 +76,21 @@ def may_reach_jaro_winkler(a: Column, b: Column, letters_a: Column, letters_b: C
 
 def may_reach_sequence(a: Column, b: Column, letters_a: Column, letters_b: Column, threshold: float) -> Column:
     """Sound bound for sequence_ratio from lengths and the letters in common."""
-    common = F.size(F.array_intersect(letters_a, letters_b))
+    spare = F.least(F.length(a) - F.length(F.trim(a)), F.length(b) - F.length(F.trim(b)))  # outer spaces count here, but not among the letters
+    common = F.size(F.array_intersect(letters_a, letters_b)) + spare
     return 2 * common / (F.length(a) + F.length(b)) >= threshold - 1e-9
 
 
+def hashed_embedding(name: Column, dims: int = 64, gram: int = 3) -> Column:
+    """A unit vector of a name's letter n-grams, hashed to ``dims`` places: an embedding that needs no model. Null for names without letters or digits."""
+    plain = F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " "))
+    padded = F.concat(F.lit("^"), plain, F.lit("$"))
+    places = F.transform(F.sequence(F.lit(1), F.length(padded) - (gram - 1)), lambda i: F.pmod(F.xxhash64(F.substring(padded, i, gram)), F.lit(dims)).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(plain != "", F.transform(counts, lambda x: (x / length).cast("float")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

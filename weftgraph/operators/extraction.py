@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import inspect
-import logging
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENTITY_RESERVED = ["type", "entity_type", "type_id", "name", "confidence"]
 RELATION_RESERVED = ["from_entity", "to_entity", "type", "relation_type", "confidence"]
 MAX_CONTENT = 100_000
-TRUNCATED = "\n\n[Content truncated...]"
+#: What a cut text ends with (fixed value).
+TRUNCATED = "\n\n[... content truncated ...]"
 
 
 def response_json(raw: Column) -> Column:
@@ -95,67 +91,63 @@ def resolve_indices(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return relations.join(src, ["doc_id", "from_index"]).join(dst, ["doc_id", "to_index"])
 
 
-def prompt(template: str, definitions: str, text: Column) -> Column:
-    """The template with both placeholders filled; texts above MAX_CONTENT characters are cut with a marker, as the model's input is bounded."""
-    body = F.when(F.length(text) > MAX_CONTENT, F.concat(F.substring(text, 1, MAX_CONTENT), F.lit(TRUNCATED))).otherwise(text)
-    return F.replace(F.replace(F.lit(template), F.lit("{{ENTITY_TYPE_DEFINITIONS}}"), F.lit(definitions)), F.lit("{{TEXT}}"), body)
+def filter_by_confidence(entities: DataFrame, relations: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Entities at the threshold, and no relations: their indices are those of the unfiltered list."""
+    return entities.filter(F.col("confidence") >= threshold), relations.limit(0)
 
 
-def grouped(entities: DataFrame) -> DataFrame:
-    """One row a type with its entities in order, for text output."""
-    rows = F.array_sort(F.collect_list(F.struct("name", "confidence")))
-    return entities.groupBy("entity_type").agg(F.count("*").alias("n"), rows.alias("entities"))
+def entities_of_type(entities: DataFrame, entity_type: str) -> DataFrame:
+    """Entities of exactly this type, case included."""
+    return entities.filter(F.col("entity_type") == entity_type)
+
 
+def unique_types(entities: DataFrame) -> DataFrame:
+    """(doc_id, types): the sorted types of each result."""
+    return entities.groupBy("doc_id").agg(F.array_sort(F.collect_set("entity_type")).alias("types"))
 
-@dataclass
-class Hooks:
-    """Registered transformations: before_store is chained over the entity table, after_batch runs on the committed tables."""
 
-    before: list[Callable] = field(default_factory=list)
-    after: list[Callable] = field(default_factory=list)
+def type_summary(entities: DataFrame) -> DataFrame:
+    """(entity_type, n, n_names)."""
+    return entities.groupBy("entity_type").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"))
 
-    def before_store(self, hook: Callable) -> Callable:
-        self.before.append(hook)
-        return hook
 
-    def after_batch(self, hook: Callable) -> Callable:
-        self.after.append(hook)
-        return hook
+def alias_lists(entities: DataFrame) -> DataFrame:
+    """(entity_type, name, aliases): the aliases a response gives with an entity, sorted, joined by |."""
+    each = entities.filter(F.col("properties")["aliases"].isNotNull()).select("entity_type", "name", F.explode(F.from_json(F.col("properties")["aliases"], "array<string>")).alias("alias"))
+    return each.groupBy("entity_type", "name").agg(F.array_join(F.array_sort(F.collect_set("alias")), "|").alias("aliases"))
 
-    @staticmethod
-    def _call(hook: Callable, first, extra: dict):
-        known = inspect.signature(hook).parameters
-        anything = any(p.kind is p.VAR_KEYWORD for p in known.values())
-        return hook(first, **{k: v for k, v in extra.items() if anything or k in known})
 
-    def run_before(self, entities: DataFrame, **extra) -> DataFrame:
-        """A hook that raises is logged and leaves the table as it was."""
-        for hook in self.before:
-            try:
-                entities = self._call(hook, entities, extra)
-            except Exception:
-                logging.getLogger(__name__).exception("before_store hook failed")
-        return entities
+def token_totals(responses: DataFrame) -> DataFrame:
+    """Tokens and responses per model."""
+    return responses.groupBy("model_name").agg(F.sum("tokens_used").alias("tokens"), F.count("*").alias("n"))
 
-    def run_after(self, tables, **extra) -> None:
-        for hook in self.after:
-            try:
-                self._call(hook, tables, extra)
-            except Exception:
-                logging.getLogger(__name__).exception("after_batch hook failed")
 
+def result_json(entities: DataFrame, responses: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, body): each result as JSON, its entities in order with their properties beside type, name and confidence; ``files`` is (doc_id, file)."""
+    item = F.to_json(F.map_concat(F.create_map(F.lit("type"), F.col("entity_type"), F.lit("name"), F.col("name"), F.lit("confidence"), F.col("confidence").cast("string")), F.coalesce("properties", F.expr("cast(map() as map<string,string>)"))))
+    listed = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", item.alias("item")))).alias("items"))
+    rows = responses.select("doc_id", "model_name", "tokens_used", "extraction_time", "success").join(files, "doc_id", "left").join(listed, "doc_id", "left")
+    body = F.concat(
+        F.lit('{"file":'), F.coalesce(F.to_json(F.array("file")), F.lit("[null]")), F.lit(',"model":'), F.to_json(F.array("model_name")), F.lit(',"entities":['), F.coalesce(F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("")),
+        F.lit('],"metadata":'), F.to_json(F.struct(F.coalesce(F.size("items"), F.lit(0)).alias("entity_count"), "extraction_time", "tokens_used", "success")), F.lit("}"),
+    )
+    return rows.select("doc_id", F.regexp_replace(body, r'^\{"file":\[(.*?)\],"model":\[(.*?)\],', r'{"file":$1,"model":$2,').alias("body"))
 
-def review(entities: DataFrame, edits: DataFrame) -> DataFrame:
-    """Replay of a review script (doc_id, seq, action, n, m, new_name) over entities numbered 1.. by idx.
 
-    delete n drops, edit n renames (the last edit counts), merge n m drops m where both have one type; 'done' ends a document's script.
-    """
-    end = edits.filter("action = 'done'").groupBy("doc_id").agg(F.min("seq").alias("__end"))
-    valid = edits.join(end, "doc_id", "left").filter("__end IS NULL OR seq < __end").drop("__end")
-    numbered = entities.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")))
-    types = numbered.select("doc_id", "n", F.col("entity_type").alias("t"))
-    merges = valid.filter("action = 'merge'").join(types, ["doc_id", "n"]).join(types.toDF("doc_id", "m", "tm"), ["doc_id", "m"]).filter("t = tm AND n <> m").select("doc_id", F.col("m").alias("n"))
-    gone = valid.filter("action = 'delete'").select("doc_id", "n").unionByName(merges).distinct()
-    names = valid.filter("action = 'edit' AND trim(new_name) <> ''").groupBy("doc_id", "n").agg(F.max_by("new_name", "seq").alias("__name"))
-    kept = numbered.join(gone, ["doc_id", "n"], "left_anti").join(names, ["doc_id", "n"], "left")
-    return kept.withColumn("name", F.coalesce("__name", "name")).select(*entities.columns)
+def result_text(entities: DataFrame) -> DataFrame:
+    """(doc_id, entity_type, body): each result's entities of a type as lines, confidences below 1 shown."""
+    shown = F.concat(F.lit("  - "), F.col("name"), F.when(F.col("confidence") < 1, F.format_string(" (confidence: %.2f)", F.col("confidence"))).otherwise(""))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("idx", shown.alias("line")))), lambda x: x["line"])
+    return entities.groupBy("doc_id", "entity_type").agg(F.concat(F.first("entity_type"), F.lit(" ("), F.count("*").cast("string"), F.lit("):\n"), F.array_join(lines, "\n")).alias("body"))
+
+
+def prompt(template: str, definitions: str, text: Column, most: int = MAX_CONTENT) -> Column:
+    """The template with both placeholders filled; texts above ``most`` characters are cut with a marker, as the model's input is bounded."""
+    body = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(TRUNCATED))).otherwise(text)
+    return F.replace(F.replace(F.lit(template), F.lit("{{ENTITY_TYPE_DEFINITIONS}}"), F.lit(definitions)), F.lit("{{TEXT}}"), body)
+
+
+def grouped(entities: DataFrame) -> DataFrame:
+    """One row a type with its entities in order, for text output."""
+    rows = F.array_sort(F.collect_list(F.struct("name", "confidence")))
+    return entities.groupBy("entity_type").agg(F.count("*").alias("n"), rows.alias("entities"))

@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.errors import ConfigurationError, ParseError
+
 RAW = "doc_id string, raw_response string, model_name string, tokens_used int, extraction_time double, success boolean, error string"
 
 
 class Extractor(Protocol):
     def extract(self, documents: DataFrame) -> DataFrame:
-        """(doc_id, text, content_hash) to rows of RAW."""
+        """(doc_id, text, content_hash[, prompt]) to rows of RAW."""
 
 
 class ReplayExtractor:
@@ -46,10 +48,20 @@ class GazetteerExtractor:
         return rows.select("doc_id", body.alias("raw_response"), F.lit("gazetteer").alias("model_name"), F.lit(0).alias("tokens_used"), F.lit(0.0).alias("extraction_time"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
 
 
+#: What a passing failure says of itself, in class names and messages (fixed values, lower case).
+RETRYABLE = ("timeout", "timed out", "connection", "rate limit", "ratelimit", "throttl", "too many requests", "service unavailable", "serviceunavailable", "429", "500", "502", "503", "504")
+
+
+def is_retryable(error: Exception) -> bool:
+    """Whether a call may succeed if it is made again: a response that can't be read, or an error that calls itself passing."""
+    said = f"{type(error).__name__} {error}".lower()
+    return isinstance(error, (TimeoutError, ConnectionError, ParseError)) or any(word in said for word in RETRYABLE)
+
+
 class ClientExtractor:
-    """A prompt column through an injected client (text -> (response, tokens)), with retries and exponential waits."""
+    """Each document's prompt, or its text where there is none, through an injected client (str -> (response, tokens)), with retries and exponential waits."""
 
-    def __init__(self, client: Callable[[str], tuple[str, int]], model_name: str, retries: int = 1, retryable: Callable[[Exception], bool] = lambda e: isinstance(e, (TimeoutError, ConnectionError)), wait: float = 1.0):
+    def __init__(self, client: Callable[[str], tuple[str, int]], model_name: str, retries: int = 1, retryable: Callable[[Exception], bool] = is_retryable, wait: float = 1.0):
         self.client, self.model_name, self.retries, self.retryable, self.wait = client, model_name, retries, retryable, wait
 
     def extract(self, documents: DataFrame) -> DataFrame:
@@ -58,7 +70,7 @@ class ClientExtractor:
         def run(frames):
             for frame in frames:
                 rows = []
-                for doc, text in zip(frame["doc_id"], frame["text"]):
+                for doc, text in zip(frame["doc_id"], frame["asked"]):
                     began, error, raw, used = time.time(), None, None, 0
                     for attempt in range(retries + 1):
                         try:
@@ -72,15 +84,14 @@ class ClientExtractor:
                     rows.append((doc, raw, name, used, time.time() - began, error is None, error))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
 
-        return documents.select("doc_id", "text").mapInPandas(run, RAW)
+        asked = F.coalesce("prompt", "text") if "prompt" in documents.columns else F.col("text")
+        return documents.select("doc_id", asked.alias("asked")).mapInPandas(run, RAW)
 
 
 _REGISTRY: dict[str, Callable[..., Extractor]] = {"replay": ReplayExtractor, "gazetteer": GazetteerExtractor, "client": ClientExtractor}
 
 
 def create_extractor(kind: str, *args, **kwargs) -> Extractor:
-    from weftgraph.errors import ConfigurationError
-
     if kind not in _REGISTRY:
         raise ConfigurationError(f"unknown extractor {kind!r}; known: {sorted(_REGISTRY)}")
     return _REGISTRY[kind](*args, **kwargs)

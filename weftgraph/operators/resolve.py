@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.similarity import jaro_winkler, letter_counts, may_reach_jaro_winkler, may_reach_sequence, sequence_ratio
 from weftgraph.functions.text import normalize_text
+from weftgraph.operators.upsert import first_wins
 from weftgraph.session import materialize
 
 
@@ -57,6 +58,35 @@ def similar_pairs(names: DataFrame, block: list[str], threshold: float = 0.75, m
     return pairs.withColumn("score", score("name_a", "name_b")).filter(F.col("score") >= threshold)
 
 
+def _ends(pairs: DataFrame, *columns: str) -> DataFrame:
+    return pairs.select("namespace", "entity_type", F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), *columns)
+
+
+def unordered_once(pairs: DataFrame) -> DataFrame:
+    """Each pair of names once, whatever the direction: the best score, of equal ones the smallest pair_id."""
+    return first_wins(_ends(pairs.filter("name_a <> name_b"), "score", "pair_id"), ["namespace", "entity_type", "name_a", "name_b"], [F.col("score").desc_nulls_last(), "pair_id"])
+
+
+def by_score(pairs: DataFrame) -> DataFrame:
+    """Pairs, best first; of equal ones the earlier in scan order."""
+    return pairs.orderBy(F.col("score").desc(), "ord_a", "ord_b")
+
+
+def hybrid_scores(pairs: DataFrame, vector: float = 0.6, fuzzy: float = 0.4) -> DataFrame:
+    """Vector and fuzzy results of a pair of names as one weighted score; a method without a result counts 0."""
+    ends = _ends(pairs.filter("name_a IS NOT NULL AND name_b IS NOT NULL AND score IS NOT NULL"), "method", "score")
+    part = lambda m: F.coalesce(F.max(F.when(F.col("method") == m, F.col("score"))), F.lit(0.0))
+    return ends.groupBy("namespace", "entity_type", "name_a", "name_b").agg(F.round(vector * part("vector") + fuzzy * part("fuzzy"), 6).alias("score"))
+
+
+def candidates(fuzzy: DataFrame, vector: DataFrame, limit: int = 5) -> DataFrame:
+    """Up to ``limit`` candidates a name from both kinds of matches (block, name, other, score), each other name once with its best score: (block, name, other, score, method, rank)."""
+    both = fuzzy.withColumn("method", F.lit("fuzzy")).unionByName(vector.withColumn("method", F.lit("vector")))
+    once = first_wins(both, ["block", "name", "other"], [F.col("score").desc(), "method"])
+    rank = F.row_number().over(Window.partitionBy("block", "name").orderBy(F.col("score").desc(), "other"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
 def canonical_map(pairs: DataFrame, block: list[str]) -> DataFrame:
     """(block, duplicate, canonical) from scored pairs, best first: of each pair the longer name stays, the later one if equally long.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.text import content_hash
+
 
 def statistics(results: DataFrame) -> DataFrame:
     """One row from (success, skipped, entities_found, relationships_created, error): totals and success rate in percent (0 without documents)."""
@@ -20,6 +22,18 @@ def statistics(results: DataFrame) -> DataFrame:
     )
 
 
+def error_counts(results: DataFrame) -> DataFrame:
+    """(error, n): the errors of a run, each once; distributed, so a run with any number of failures is reported whole."""
+    return results.filter("NOT coalesce(success, false)").groupBy(F.coalesce("error", F.lit("unknown")).alias("error")).agg(F.count("*").alias("n"))
+
+
+def progress(results: DataFrame, order: str, by: list[str]) -> DataFrame:
+    """``results`` with ``done``, how many of ``by`` were reached, and ``percent`` of all, in order."""
+    all_ = results.groupBy(*by).agg(F.count("*").alias("__all"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return results.withColumn("done", nth).join(all_, by).withColumn("percent", F.round(F.col("done") * 100.0 / F.col("__all"), 2)).drop("__all")
+
+
 def failure_runs(results: DataFrame, order: str, by: list[str]) -> DataFrame:
     """Runs of consecutive failures within ``by``: (by, first, last, length). Skipped documents count as successes."""
     fine = F.when(F.col("success") | F.coalesce("skipped", F.lit(False)), 1).otherwise(0)
@@ -44,6 +58,11 @@ def take_batch(results: DataFrame, order: str, by: list[str], limit: int) -> Dat
     return results.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < limit).drop("__before")
 
 
+def repeated_contents(documents: DataFrame, text: str) -> DataFrame:
+    """(content_hash, n_docs, first_doc) of every text that several documents have."""
+    return documents.filter(F.col(text).isNotNull()).groupBy(content_hash(text).alias("content_hash")).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter("n_docs > 1")
+
+
 def skip_processed(batch: DataFrame, docs: DataFrame, order: str) -> DataFrame:
     """New contents only: not in ``docs`` of the namespace, and of equal contents in the batch the first in ``order``."""
     fresh = batch.join(docs.select("namespace", "content_hash").distinct(), ["namespace", "content_hash"], "left_anti")

@@ -42,6 +42,25 @@ def merge_properties(old: Column, new: Column) -> Column:
     return F.map_filter(F.map_concat(F.coalesce(old, empty), F.coalesce(new, empty)), lambda _, v: v.isNotNull())
 
 
+def last_properties(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``(key, properties)``: of every property of a key the last writer's value; a null value stays, to remove the property where maps are merged."""
+    each = df.select(*key, F.struct(*order).alias("__at"), F.explode("properties").alias("__name", "__value"))
+    one = each.groupBy(*key, "__name").agg(F.max_by(F.struct("__value"), "__at").alias("__last"))
+    return one.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("__name", F.col("__last.__value"))))).alias("properties"))
+
+
+def with_aliases(entities: DataFrame, canonical: DataFrame) -> DataFrame:
+    """``entities`` where the canonical ones of (namespace, entity_type, duplicate, canonical) have the merged entities' names added to their property ``aliases``, a JSON array."""
+    key = ["namespace", "entity_type", "normalized_name"]
+    merged = entities.select(*key, "name").join(canonical.select("namespace", "entity_type", F.col("duplicate").alias("normalized_name"), "canonical"), key)
+    names = merged.groupBy("namespace", "entity_type", F.col("canonical").alias("normalized_name")).agg(F.collect_set("name").alias("__names"))
+    known = F.coalesce(F.from_json(F.col("properties")["aliases"], "array<string>"), F.array().cast("array<string>"))
+    listed = F.to_json(F.array_sort(F.array_distinct(F.concat(known, F.col("__names")))))
+    joined = entities.join(names, key, "left")
+    added = merge_properties(F.col("properties"), F.create_map(F.lit("aliases"), listed))
+    return joined.withColumn("properties", F.when(F.col("__names").isNull(), F.col("properties")).otherwise(added)).select(*entities.columns)
+
+
 def update_entities(entities: DataFrame, changes: DataFrame, key: list[str], now_ms: int) -> tuple[DataFrame, DataFrame]:
     """(updated table, changes whose key does not exist). ``changes`` is key columns and a ``properties`` map, one row a key."""
     delta = changes.select(*key, F.col("properties").alias("__new"))

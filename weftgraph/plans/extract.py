@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import extraction, runs
+from weftgraph.operators import extraction, hooks, runs
 from weftgraph.session import table
 from weftgraph.sources import html, ontology
 
@@ -62,12 +62,11 @@ _add(
 
 
 def extraction_summary(spark: SparkSession, d: str) -> DataFrame:
-    e = extraction.entity_rows(_decoded(spark, d))
-    return e.groupBy("entity_type").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"))
+    return extraction.type_summary(extraction.entity_rows(_decoded(spark, d)))
 
 
 _add("entities_by_type", extraction_summary, BASE + "SELECT entity_type, count(*) AS n, count(DISTINCT name) AS n_names FROM ok GROUP BY 1")
-_add("token_totals", lambda s, d: table(s, d, "extraction_raw").groupBy("model_name").agg(F.sum("tokens_used").alias("tokens"), F.count("*").alias("n")), "SELECT model_name, sum(tokens_used)::BIGINT AS tokens, count(*) AS n FROM extraction_raw GROUP BY 1")
+_add("token_totals", lambda s, d: extraction.token_totals(table(s, d, "extraction_raw")), "SELECT model_name, sum(tokens_used)::BIGINT AS tokens, count(*) AS n FROM extraction_raw GROUP BY 1")
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +154,7 @@ _add(
 _add("page_markdown", lambda s, d: html.parse_pages(_pages(s, d), "file", "html", ["batch_no"]).select("doc_id", "batch_no", "text", "content_hash"))
 _add(
     "corpus_summary",
-    lambda s, d: table(s, d, "parsed_documents").agg(F.count("*").alias("n_docs"), F.sum(F.coalesce(F.size("links"), F.lit(0))).alias("n_links"), F.sum(F.char_length("text")).alias("n_chars")),
+    lambda s, d: html.corpus_summary(table(s, d, "parsed_documents")),
     "SELECT count(*) AS n_docs, sum(coalesce(len(links), 0))::BIGINT AS n_links, sum(length(text))::BIGINT AS n_chars FROM parsed_documents",
 )
 
@@ -167,14 +166,18 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 _add(
     "markdown_export", lambda s, d: html.markdown_files(_docs(s, d)),
-    """SELECT doc_id, '# ' || coalesce(title, '') || E'\n\n- id: ' || doc_id || E'\n- source: ' || coalesce(source_file, '') || E'\n- path: ' || coalesce(array_to_string(breadcrumb, ' → '), '') || E'\n- hash: ' || content_hash || E'\n\n' || coalesce(text, '') AS body
+    """SELECT doc_id, '# ' || coalesce(title, '') || E'\n\n**Document ID:** ' || doc_id || E'  \n**Source:** ' || coalesce(source_file, '') || E'  \n**Breadcrumb:** ' || coalesce(array_to_string(breadcrumb, ' → '), '') || E'  \n**Content Hash:** ' || content_hash || E'\n\n---\n\n' || coalesce(text, '') || E'\n' AS body
     FROM (SELECT DISTINCT doc_id, title, text, breadcrumb, source_file, sha256(coalesce(text, '')) AS content_hash FROM parsed_documents)""",
 )
 _add(
-    "prompts", lambda s, d: _docs(s, d).select("doc_id", F.sha2(extraction.prompt("Types: {{ENTITY_TYPE_DEFINITIONS}} Text: {{TEXT}}", "a, b", F.coalesce("text", F.lit(""))), 256).alias("prompt_hash")).distinct(),
-    "SELECT DISTINCT doc_id, sha256('Types: a, b Text: ' || coalesce(text, '')) AS prompt_hash FROM parsed_documents",
+    "prompts", lambda s, d: _docs(s, d).select("doc_id", F.sha2(extraction.prompt("Types: {{ENTITY_TYPE_DEFINITIONS}} Text: {{TEXT}}", "a, b", F.coalesce("text", F.lit("")), 3000), 256).alias("prompt_hash")).distinct(),
+    "SELECT DISTINCT doc_id, sha256('Types: a, b Text: ' || CASE WHEN length(text) > 3000 THEN substring(text, 1, 3000) || E'\n\n[... content truncated ...]' ELSE coalesce(text, '') END) AS prompt_hash FROM parsed_documents",
 )
-_add("index_records", lambda s, d: html.index_records(_docs(s, d)))
+_add(
+    "index_records",
+    lambda s, d: html.index_records(table(s, d, "parsed_documents").select("doc_id", "title", "text", "breadcrumb", "links", "source_file", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), "parsed_at", "metadata").filter("doc_id IS NOT NULL")).select("doc_id", F.get_json_object("record", "$.metadata.title").alias("title"), F.get_json_object("record", "$.metadata.content_hash").alias("content_hash"), F.get_json_object("record", "$.metadata.parsed_at").alias("parsed_at"), F.md5(F.get_json_object("record", "$.text")).alias("text_md5")).distinct(),
+    "SELECT DISTINCT doc_id, CASE WHEN map_contains(metadata, 'title') THEN map_extract(metadata, 'title')[1] ELSE title END AS title, sha256(coalesce(text, '')) AS content_hash, strftime(parsed_at, '%Y-%m-%dT%H:%M:%S.%f') AS parsed_at, md5(text) AS text_md5 FROM parsed_documents WHERE doc_id IS NOT NULL",
+)
 
 
 def export_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -192,24 +195,26 @@ def _export_sql() -> str:
 _add("export_entities", export_entities, _export_sql())
 _add(
     "alias_lists",
-    lambda s, d: extraction.entity_rows(_decoded(s, d)).filter("properties['aliases'] IS NOT NULL").select("entity_type", "name", F.explode(F.from_json(F.col("properties")["aliases"], "array<string>")).alias("alias")).groupBy("entity_type", "name").agg(F.array_join(F.array_sort(F.collect_set("alias")), "|").alias("aliases")),
+    lambda s, d: extraction.alias_lists(extraction.entity_rows(_decoded(s, d))),
     BASE + "SELECT entity_type, name, string_agg(alias, '|' ORDER BY alias) AS aliases FROM (SELECT DISTINCT entity_type, name, unnest(CAST(json_extract(item, '$.aliases') AS VARCHAR[])) AS alias FROM ok WHERE json_extract(item, '$.aliases') IS NOT NULL) GROUP BY ALL",
 )
 
 
 def review_script(spark: SparkSession, d: str) -> DataFrame:
-    """A script for every document: drop the second entity, rename the first, end; what follows the end doesn't count."""
+    """A script for every document: drop the second entity, merge the third into the first, try what is void by then, rename, end; what follows the end doesn't count."""
     ents = extraction.entity_rows(_decoded(spark, d)).select("doc_id", "idx", "entity_type", "name").distinct()
     ents = ents.groupBy("doc_id", "idx").agg(F.min(F.struct("entity_type", "name")).alias("x")).select("doc_id", "idx", "x.entity_type", "x.name")
-    steps = [(1, "delete", 2, None, None), (2, "edit", 1, None, "renamed"), (3, "done", None, None, None), (4, "delete", 1, None, None)]
+    steps = [(1, "delete", 2, None, None), (2, "merge", 3, 1, None), (3, "merge", 1, 2, None), (4, "edit", 3, None, "kept"), (5, "merge", 4, 3, None), (6, "edit", 1, None, "renamed"), (7, "done", None, None, None), (8, "delete", 1, None, None)]
     columns = (("seq", "int"), ("action", "string"), ("n", "int"), ("m", "int"), ("new_name", "string"))
     script = F.array(*(F.struct(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(step, columns))) for step in steps))
     edits = ents.select("doc_id").distinct().select("doc_id", F.explode(script).alias("s")).select("doc_id", "s.*")
-    return extraction.review(ents, edits)
+    return hooks.review(ents, edits)
 
 
 _add(
     "review_script", review_script,
     BASE + """, u AS (SELECT doc_id, idx, min((entity_type, name)) AS x FROM ok GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM u)
-    SELECT doc_id, idx, x[1] AS entity_type, CASE WHEN n = 1 THEN 'renamed' ELSE x[2] END AS name FROM k WHERE n <> 2""",
+    , t AS (SELECT doc_id, max(x[1]) FILTER (n = 1) AS t1, max(x[1]) FILTER (n = 3) AS t3 FROM k GROUP BY 1)
+    SELECT doc_id, idx, x[1] AS entity_type, CASE WHEN n = 1 THEN 'renamed' WHEN n = 3 THEN 'kept' ELSE x[2] END AS name FROM k JOIN t USING (doc_id)
+    WHERE n <> 2 AND NOT (n = 3 AND t1 = t3) AND NOT (n = 4 AND x[1] = t3 AND t1 <> t3)""",
 )

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.similarity import cosine
 from weftgraph.functions.text import content_hash, normalize_name, normalize_text
-from weftgraph.operators import resolve, runs, upsert, vectors
+from weftgraph.operators import extraction, resolve, runs, vectors
 from weftgraph.plans.graph import norm_sql
-from weftgraph.session import table
+from weftgraph.session import new_path, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -46,7 +46,7 @@ _add("dictionary_lines", lambda s, d: resolve.dictionary(table(s, d, "norm_dict"
 _add("content_hash", lambda s, d: table(s, d, "documents").select("doc_id", content_hash("text").alias("content_hash")), "SELECT doc_id, sha256(text) AS content_hash FROM documents")
 _add(
     "hash_duplicates",
-    lambda s, d: table(s, d, "documents").filter("text IS NOT NULL").groupBy(content_hash("text").alias("content_hash")).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter("n_docs > 1"),
+    lambda s, d: runs.repeated_contents(table(s, d, "documents"), "text"),
     "SELECT sha256(text) AS content_hash, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
 )
 
@@ -64,15 +64,13 @@ _add(
     SELECT min(doc_id) AS doc_id, namespace FROM r WHERE late AND NOT EXISTS (SELECT 1 FROM r o WHERE NOT o.late AND o.namespace = r.namespace AND o.h = r.h) GROUP BY namespace, h""",
 )
 _add(
-    "min_confidence", lambda s, d: table(s, d, "extracted_entities").filter("confidence >= 0.9").groupBy("entity_type").agg(F.count("*").alias("n")),
+    "min_confidence", lambda s, d: extraction.min_confidence(table(s, d, "extracted_entities"), 0.9).groupBy("entity_type").agg(F.count("*").alias("n")),
     "SELECT entity_type, count(*) AS n FROM extracted_entities WHERE confidence >= 0.9 GROUP BY 1",
 )
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
-    from weftgraph.operators.extraction import of_types
-
-    return of_types(table(spark, d, "extracted_entities"), ["Person", "SERVICE"]).select("doc_id", "idx", "entity_type").distinct()
+    return extraction.of_types(table(spark, d, "extracted_entities"), ["Person", "SERVICE"]).select("doc_id", "idx", "entity_type").distinct()
 
 
 _add("type_filter", _typed, "SELECT DISTINCT doc_id, idx, entity_type FROM extracted_entities WHERE lower(entity_type) IN ('person', 'service')")
@@ -131,35 +129,56 @@ _add("vector_threshold", lambda s, d: vectors.nearest(_asked(_vectors(s, d)), _v
 _add("vector_l2_score", lambda s, d: vectors.nearest(_asked(_vectors(s, d)), _vectors(s, d), ["label"], 1).select("query_id", "vec_id", F.round("score", 5).alias("score")), _TOP.format(score=_L2) + "SELECT query_id, vec_id, round(s, 5) AS score FROM r WHERE rank = 1")
 _add("vector_cosine", lambda s, d: vectors.nearest(_asked(_vectors(s, d)), _vectors(s, d), ["label"], 1, score=cosine).select("query_id", "vec_id", F.round("score", 5).alias("score")), _TOP.format(score=_COS) + "SELECT query_id, vec_id, round(s, 5) AS score FROM r WHERE rank = 1")
 _add("vector_leader", lambda s, d: resolve.leaders(_vectors(s, d).withColumnRenamed("vec_id", "ord"), ["label"], 0.3).select("label", "ord", "leader"))
-_add("vector_stats", lambda s, d: _vectors(s, d).groupBy("label").agg(F.count("*").alias("n_vectors")), "SELECT label, count(*) AS n_vectors FROM embeddings GROUP BY 1")
+_add("vector_stats", lambda s, d: vectors.counts(_vectors(s, d), ["label"]), "SELECT label, count(*) AS n_vectors FROM embeddings GROUP BY 1")
 _add(
     "vector_ids", lambda s, d: _vectors(s, d).select(vectors.vector_id(F.lit("main"), F.col("label").cast("string"), F.col("vec_id").cast("string")).alias("id")),
     "SELECT 'main:' || label || ':' || vec_id AS id FROM embeddings",
 )
 
 
-def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Accepted vector and fuzzy results of a pair as one weighted score."""
-    pairs = table(spark, d, "similar_pairs").filter("name_a IS NOT NULL AND name_b IS NOT NULL AND score IS NOT NULL")
-    ends = pairs.select("namespace", "entity_type", F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), "method", "score")
-    part = lambda m: F.coalesce(F.max(F.when(F.col("method") == m, F.col("score"))), F.lit(0.0))
-    return ends.groupBy("namespace", "entity_type", "name_a", "name_b").agg(F.round(0.6 * part("vector") + 0.4 * part("fuzzy"), 6).alias("score"))
+_add(
+    "hybrid_score", lambda s, d: resolve.hybrid_scores(table(s, d, "similar_pairs")),
+    "SELECT namespace, entity_type, least(name_a, name_b) AS name_a, greatest(name_a, name_b) AS name_b, round(0.6 * coalesce(max(score) FILTER (method = 'vector'), 0) + 0.4 * coalesce(max(score) FILTER (method = 'fuzzy'), 0), 6) AS score FROM similar_pairs WHERE name_a IS NOT NULL AND name_b IS NOT NULL AND score IS NOT NULL GROUP BY namespace, entity_type, least(name_a, name_b), greatest(name_a, name_b)",
+)
 
 
 _add(
-    "hybrid_score", _hybrid,
-    "SELECT namespace, entity_type, least(name_a, name_b) AS name_a, greatest(name_a, name_b) AS name_b, round(0.6 * coalesce(max(score) FILTER (method = 'vector'), 0) + 0.4 * coalesce(max(score) FILTER (method = 'fuzzy'), 0), 6) AS score FROM similar_pairs WHERE name_a IS NOT NULL AND name_b IS NOT NULL AND score IS NOT NULL GROUP BY namespace, entity_type, least(name_a, name_b), greatest(name_a, name_b)",
+    "dedupe_candidates", lambda s, d: resolve.unordered_once(table(s, d, "similar_pairs")),
+    "SELECT namespace, entity_type, name_a, name_b, score, pair_id FROM (SELECT namespace, entity_type, least(name_a, name_b) AS name_a, greatest(name_a, name_b) AS name_b, score, pair_id, row_number() OVER (PARTITION BY namespace, entity_type, least(name_a, name_b), greatest(name_a, name_b) ORDER BY score DESC NULLS LAST, pair_id) AS n FROM similar_pairs WHERE name_a <> name_b) WHERE n = 1",
 )
 
 
-def _dedupe_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Unordered pairs once, best score and smallest pair_id kept."""
-    pairs = table(spark, d, "similar_pairs").filter("name_a <> name_b")
-    ends = pairs.select("namespace", "entity_type", F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), "score", "pair_id")
-    return upsert.first_wins(ends, ["namespace", "entity_type", "name_a", "name_b"], [F.col("score").desc_nulls_last(), "pair_id"])
+def fuzzy_hook(spark: SparkSession, d: str) -> DataFrame:
+    """Later nodes marked by the fuzzy hook as duplicates of earlier, stored ones."""
+    from weftgraph.operators.hooks import fuzzy_hook as hook
+    from weftgraph.operators.store import GraphStore
+
+    store = GraphStore(spark, new_path(spark, "hooked"))
+    names = table(spark, d, "entities").filter("normalized_name <> '' AND namespace = 'oriel'").select("namespace", "entity_type", "normalized_name", F.col("normalized_name").alias("name"), "batch_no")
+    store.replace("entities", names.filter("batch_no < 9").drop("batch_no").distinct())
+    new = names.filter("batch_no >= 9").groupBy("entity_type", "name").agg(F.min("batch_no").alias("idx"))
+    return hook(0.85)(new, store, "oriel").select("entity_type", "name", "duplicate_of")
 
 
 _add(
-    "dedupe_candidates", _dedupe_candidates,
-    "SELECT namespace, entity_type, name_a, name_b, score, pair_id FROM (SELECT namespace, entity_type, least(name_a, name_b) AS name_a, greatest(name_a, name_b) AS name_b, score, pair_id, row_number() OVER (PARTITION BY namespace, entity_type, least(name_a, name_b), greatest(name_a, name_b) ORDER BY score DESC NULLS LAST, pair_id) AS n FROM similar_pairs WHERE name_a <> name_b) WHERE n = 1",
+    "fuzzy_hook", fuzzy_hook,
+    """WITH n AS (SELECT DISTINCT entity_type, normalized_name AS name, batch_no >= 9 AS late FROM entities WHERE normalized_name <> '' AND namespace = 'oriel'),
+    s AS (SELECT a.entity_type, a.name, b.name AS other, jaro_winkler_similarity(a.name, b.name) AS s FROM n a JOIN n b ON a.late AND NOT b.late AND a.entity_type = b.entity_type),
+    m AS (SELECT entity_type, name, other FROM (SELECT *, row_number() OVER (PARTITION BY entity_type, name ORDER BY round(s, 9) DESC, other) AS k FROM s WHERE s >= 0.85 - 1e-12) WHERE k = 1)
+    SELECT DISTINCT n.entity_type, n.name, nullif(m.other, n.name) AS duplicate_of FROM n LEFT JOIN m USING (entity_type, name) WHERE n.late""",
 )
+
+
+def hook_normalise(spark: SparkSession, d: str) -> DataFrame:
+    """Names after the normalising and the dictionary hook."""
+    from weftgraph.operators.hooks import Hooks, dictionary_hook, normalize_hook
+
+    rows = table(spark, d, "extracted_entities").filter("name IS NOT NULL").select("doc_id", "idx", "name").distinct().withColumn("properties", F.lit(None).cast("map<string,string>"))
+    chain = Hooks([normalize_hook(), dictionary_hook(table(spark, d, "norm_dict"))])
+    return chain.run_before(rows.withColumn("raw", F.col("name"))).select("doc_id", "idx", "raw", "name").distinct()
+
+
+_add(
+    "hook_normalise", hook_normalise,
+    _DICT + f", r AS (SELECT DISTINCT doc_id, idx, name AS raw, coalesce(nullif({text_sql('name')}, ''), name) AS plain FROM extracted_entities WHERE name IS NOT NULL) SELECT doc_id, idx, raw, coalesce(nullif({text_sql(f'coalesce(value, {text_sql("plain")})')}, ''), plain) AS name FROM r LEFT JOIN dict ON dict.key = {text_sql('plain')}",
+)

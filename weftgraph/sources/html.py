@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import content_hash
+from weftgraph.session import materialize
 
 #: Content roots in order of preference: (tag, attribute, value); a class matches as one of the words.
 ROOTS = (("div", "id", "main-content"), ("div", "class", "wiki-content"))
@@ -259,26 +260,63 @@ def link_rows(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.explode("links").alias("l")).select("doc_id", "l.url", "l.text", "l.link_type")
 
 
+def _read(files: DataFrame, roots) -> DataFrame:
+    """Document rows with parsed_at and ``problem``: a file that is no UTF-8 is an empty document with a problem, and stops nothing."""
+    page = F.expr("if(is_valid_utf8(cast(content as string)), cast(content as string), null)")
+    pages = files.select("path", page.alias("page"), F.current_timestamp().alias("parsed_at")).withColumn("problem", F.when(F.col("page").isNull(), "not UTF-8"))
+    return parse_pages(pages, "path", "page", ["parsed_at", "problem"], roots)
+
+
 def read_pages(spark: SparkSession, folder: str, pattern: str = "*.html", roots=ROOTS) -> DataFrame:
-    """Pages of a folder (not of its subfolders); a missing or empty folder raises as Spark does."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    pages = files.select("path", F.decode("content", "UTF-8").alias("page"))
-    return parse_pages(pages, "path", "page", roots=roots)
+    """Pages of a folder (not of its subfolders), with ``problem``; a missing folder raises as Spark does."""
+    return _read(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder), roots)
+
+
+def read_files(spark: SparkSession, paths: list[str], roots=ROOTS) -> DataFrame:
+    """The pages of a list of files, with ``problem``; a file that is missing raises as Spark does."""
+    return _read(spark.read.format("binaryFile").load(paths), roots)
 
 
 def markdown_files(documents: DataFrame) -> DataFrame:
     """(doc_id, body): the Markdown export of each document, with its header."""
-    crumbs = F.array_join("breadcrumb", " → ")
-    head = F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("title", F.lit(""))), F.lit(""), F.concat(F.lit("- id: "), "doc_id"), F.concat(F.lit("- source: "), F.coalesce("source_file", F.lit(""))), F.concat(F.lit("- path: "), F.coalesce(crumbs, F.lit(""))), F.concat(F.lit("- hash: "), F.coalesce("content_hash", F.lit(""))))
-    return documents.select("doc_id", F.concat(head, F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("body"))
+    field = lambda label, value: F.concat(F.lit(f"**{label}:** "), F.coalesce(value, F.lit("")))
+    head = F.concat(field("Document ID", F.col("doc_id")), F.lit("  \n"), field("Source", F.col("source_file")), F.lit("  \n"), field("Breadcrumb", F.array_join("breadcrumb", " → ")), F.lit("  \n"), field("Content Hash", F.col("content_hash")))
+    return documents.select("doc_id", F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), head, F.lit("\n\n---\n\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("body"))
+
+
+def write_markdown(documents: DataFrame, folder: str) -> DataFrame:
+    """One file ``<doc_id>.md`` a document under ``folder`` (shared by all executors), written by the tasks that hold them: (file). Characters a file name can't have become _."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
 
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            names = [re.sub(r"[^\w.-]", "_", d) + ".md" for d in batch.column(0).to_pylist()]
+            for name, body in zip(names, batch.column(1).to_pylist()):
+                with fs.open_output_stream(f"{base}/{name}") as out:  # a task that runs again writes the same file again
+                    out.write(body.encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
 
-def write_markdown(documents: DataFrame, folder: str) -> None:
-    """One folder a document under ``folder``, written by Spark's text sink."""
-    markdown_files(documents).write.mode("overwrite").partitionBy("doc_id").text(folder)
+    return materialize(markdown_files(documents.filter("doc_id IS NOT NULL")).mapInArrow(run, "file string"), "files")
 
 
 def index_records(documents: DataFrame) -> DataFrame:
-    """(doc_id, record): JSON with text and nested metadata, extra metadata last."""
-    meta = F.struct("doc_id", "title", "source_file", "content_hash", "breadcrumb", *(["metadata"] if "metadata" in documents.columns else []))
-    return documents.select("doc_id", F.to_json(F.struct("text", meta.alias("metadata"))).alias("record"))
+    """(doc_id, record): JSON of doc_id, text and metadata; the document's own metadata stand beside title, links and the like, and win where a name is the same."""
+    time = F.date_format("parsed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if "parsed_at" in documents.columns else F.lit(None).cast("string")
+    links = F.col("links") if "links" in documents.columns else F.lit(None).cast("array<struct<url:string,text:string,link_type:string>>")
+    own = {"title": F.to_json(F.array("title")), "breadcrumb": F.to_json(F.array("breadcrumb")), "links": F.to_json(F.array(links)), "content_hash": F.to_json(F.array("content_hash")), "source_file": F.to_json(F.array("source_file")), "parsed_at": F.to_json(F.array(time))}
+    more = F.coalesce("metadata", F.expr("cast(map() as map<string,string>)")) if "metadata" in documents.columns else F.expr("cast(map() as map<string,string>)")
+    inner = lambda v: F.substring(v, 2, F.length(v) - 2)  # noqa: E731  [x] to x
+    own = {k: inner(v) for k, v in own.items()}
+    fixed = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in own.items())), lambda e: ~F.map_contains_key(more, e["k"]))
+    extra = F.transform(F.map_entries(more), lambda e: F.struct(e["key"].alias("k"), inner(F.to_json(F.array(e["value"]))).alias("v")))
+    pairs = F.transform(F.concat(fixed, extra), lambda e: F.concat(inner(F.to_json(F.array(e["k"]))), F.lit(":"), e["v"]))
+    head = F.to_json(F.struct("doc_id", "text"))
+    return documents.select("doc_id", F.concat(F.substring(head, 1, F.length(head) - 1), F.when(F.length(head) > 2, ",").otherwise(""), F.lit('"metadata":{'), F.array_join(pairs, ","), F.lit("}}")).alias("record"))
+
+
+def corpus_summary(documents: DataFrame) -> DataFrame:
+    """One row: documents, links, characters."""
+    return documents.agg(F.count("*").alias("n_docs"), F.sum(F.coalesce(F.size("links"), F.lit(0))).alias("n_links"), F.sum(F.char_length("text")).alias("n_chars"))

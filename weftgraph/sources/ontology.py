@@ -55,6 +55,15 @@ def read_definitions(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(found.values()), SCHEMA)
 
 
+def find(definitions: DataFrame, entity_type: str) -> DataFrame:
+    """The definition of one type, whatever the case."""
+    return definitions.filter(F.col("entity_type_id") == entity_type.lower())
+
+
+def type_ids(definitions: DataFrame) -> DataFrame:
+    return definitions.select("entity_type_id").orderBy("entity_type_id")
+
+
 def by_type(definitions: DataFrame, types: list[str]) -> DataFrame:
     """Definitions of the types asked for, whatever the case; all if none is known."""
     some = definitions.filter(F.lower("entity_type_id").isin([t.lower() for t in types]))
@@ -83,6 +92,39 @@ def lint(definitions: DataFrame) -> DataFrame:
     return gaps.unionByName(unknown.select("entity_type_id", F.concat(F.lit("unknown target "), "target").alias("warning")))
 
 
+def prompt_text(definitions: DataFrame) -> str:
+    """The definitions as they stand in a prompt: name, id, description, relations and examples of each (a hand-written table of a few rows)."""
+    lines = []
+    for r in definitions.orderBy("entity_type_id").collect():
+        lines += [f"## {r.name or r.entity_type_id}", f"**ID**: `{r.entity_type_id}`", ""]
+        lines += [f"**Description**: {r.description}", ""] if r.description else []
+        lines += ["**Relations**:", *(f"- {t}: {f} / {b}" for t, f, b in r.relations), ""] if r.relations else []
+        lines += ["**Examples**:", *(f"- **{n}**: {d}" for n, d in r.examples), ""] if r.examples else []
+        lines += ["---", ""]
+    return "\n".join(lines)
+
+
+def read_template(folder: str, name: str = "prompt_template.md") -> str:
+    """The prompt template beside the definitions."""
+    path = Path(folder) / name
+    if not path.exists():
+        raise FileNotFoundError(f"no template {path}")
+    return path.read_text(encoding="utf-8")
+
+
+def merged_template(template: str, definitions: DataFrame) -> str:
+    """The template with the definitions filled in; the text is left open."""
+    return template.replace("{{ENTITY_TYPE_DEFINITIONS}}", render(definitions))
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value, line_no) of a text file of ``KEY : value`` lines: parted at the first colon; blank lines, # comments and lines without key or value are left out."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+    parts = F.split(F.trim("line"), r"\s*:\s*", 2)
+    rows = lines.filter("NOT trim(line) LIKE '#%' AND instr(line, ':') > 0").select(parts[0].alias("key"), parts[1].alias("value"), (F.col("at") + 1).alias("line_no"))
+    return rows.filter("key <> '' AND value <> ''")
+
+
 def render(definitions: DataFrame) -> str:
     """Prompt text of all definitions (a hand-written table of a few rows)."""
     parts = []
@@ -100,5 +142,6 @@ def render(definitions: DataFrame) -> str:
 
 def export_definitions(entities: DataFrame) -> DataFrame:
     """(entity_type, body): the graph's entities of a type as an example section, by name."""
-    named = F.array_join(F.transform(F.array_sort(F.collect_set("name")), lambda n: F.concat(F.lit("### "), n)), "\n")
-    return entities.groupBy("entity_type").agg(F.concat(F.lit("# ID: "), F.first("entity_type"), F.lit("\n## Examples:\n"), named).alias("body"))
+    names = entities.select("entity_type", "name").distinct()
+    named = F.array_join(F.transform(F.array_sort(F.collect_list("name")), lambda n: F.concat(F.lit("### "), n)), "\n")
+    return names.groupBy("entity_type").agg(F.concat(F.lit("# ID: "), F.first("entity_type"), F.lit("\n## Examples:\n"), named).alias("body"))
