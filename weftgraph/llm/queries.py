@@ -158,6 +158,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The text that each document's ids stand for, as its digest."""
+    return tokens.decode_ids(p8_ids(spark, d)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+P8_ROUNDTRIP = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, d, "documents").select("doc_id", "text")))
 
@@ -167,6 +175,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).select("doc_id", "piece_no", "token_start", "n_tokens", "container")
 
 
+def p9_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that has a place, with whether its parts follow each other, keep to the capacity and are divided only above it, and its containers hold no more than they can."""
+    p = _packed(spark, d)
+    full = p.groupBy("container").agg(F.sum("n_tokens").alias("held"))
+    each = p.join(full, "container").groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.count_distinct("piece_no").alias("parts"), F.max("held").alias("held"))
+    good = (F.col("n") == F.col("end")) & (F.col("parts") == F.ceil(F.col("n") / packing.CAPACITY)) & (F.col("held") <= packing.CAPACITY)
+    return each.select("doc_id", good.alias("good"))
+
+
+P9_PLACED = "SELECT doc_id, true AS good FROM documents WHERE length(text) > 0"
+
+
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers are."""
     return packing.fill_report(_packed(spark, d))
@@ -187,8 +207,8 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_rebuilt": p1_rebuilt, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_entities": p7_entities, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_levels": p10_levels}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_rebuilt": p1_rebuilt, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_entities": p7_entities, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers, "p9_fill": p9_fill, "p9_placed": p9_placed, "p10_found": p10_found, "p10_levels": p10_levels}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_rebuilt": P1_REBUILT, "p3_found": P3_FOUND, "p3_records": P3_RECORDS, "p5_found": P5_FOUND}
+    return {"p1_found": P1_FOUND, "p1_rebuilt": P1_REBUILT, "p3_found": P3_FOUND, "p3_records": P3_RECORDS, "p5_found": P5_FOUND, "p8_roundtrip": P8_ROUNDTRIP, "p9_placed": P9_PLACED}

@@ -41,6 +41,21 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     return _plain(df, key, text).mapInArrow(run, schema)
 
 
+def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str = bpe.DEFAULT_DIR) -> DataFrame:
+    """``(key, text)``: the text of every row's ids; null or empty ids give an empty text, ids outside the vocabulary raise."""
+    kind = df.schema[key].dataType
+    data = df.sparkSession.sparkContext.broadcast(bpe.read_vocabulary(vocabulary, folder))
+
+    def run(batches):
+        tokens = {i: t for t, i in bpe.parse_ranks(data.value).items()}
+        for batch in batches:
+            texts = [b"".join(map(tokens.__getitem__, row or ())).decode("utf-8") for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
+
+    schema = T.StructType([T.StructField(key, kind), T.StructField("text", T.StringType())])
+    return df.select(df[key], df[ids]).mapInArrow(run, schema)
+
+
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = bpe.DEFAULT_DIR) -> DataFrame:
     """``(key, n_tokens INT)`` of every row's text; null and empty texts have 0."""
     kind = df.schema[key].dataType
