@@ -46,15 +46,16 @@ class GraphStore:
     def _namespaces(df: DataFrame) -> list[str]:
         return sorted(r.namespace for r in df.select("namespace").distinct().collect())  # one row a namespace
 
-    def _swap(self, name: str, df: DataFrame, touched: list[str]) -> None:
-        """``df`` becomes the content of the touched namespaces."""
+    def _swap(self, name: str, df: DataFrame, touched: list[str] | None) -> None:
+        """``df`` becomes the content of the touched namespaces, or of the whole table. Rows of a namespace are brought together for few files; AQE splits a large one."""
         state = self._manifest(name) or {"number": 0, "versions": {}}
         number = state["number"] + 1
         shaped = df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], SCHEMAS[name]).schema))
-        if touched:
-            shaped.withColumn("version", F.lit(number)).write.mode("append").partitionBy("namespace", "version").parquet(f"{self.root}/{name}")
-        left = {n.partition("=")[2] for n in list_names(self.spark, f"{self.root}/{name}") if n.startswith("namespace=")}
-        written = {ns for ns in touched if ns in left and f"version={number}" in list_names(self.spark, f"{self.root}/{name}/namespace={ns}")}
+        if touched is None or touched:
+            shaped.withColumn("version", F.lit(number)).hint("rebalance", "namespace").write.mode("append").partitionBy("namespace", "version").parquet(f"{self.root}/{name}")
+        there = {n.partition("=")[2] for n in list_names(self.spark, f"{self.root}/{name}") if n.startswith("namespace=")}
+        written = {ns for ns in (there if touched is None else there & set(touched)) if f"version={number}" in list_names(self.spark, f"{self.root}/{name}/namespace={ns}")}
+        touched = sorted(written | set(state["versions"])) if touched is None else touched
         versions = {ns: k for ns, k in state["versions"].items() if ns not in touched} | {ns: number for ns in written}
         write_text(self.spark, f"{self.root}/{name}/manifest-{number:08}.json", json.dumps({"number": number, "versions": versions}))
         if state["number"]:
@@ -65,8 +66,7 @@ class GraphStore:
 
     def replace(self, name: str, df: DataFrame) -> None:
         """``df`` becomes the whole table."""
-        state = self._manifest(name)
-        self._swap(name, df, sorted({*self._namespaces(df), *(state["versions"] if state else ())}))
+        self._swap(name, df, None)
 
     # schema
     def create_schema(self) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.text import UNKNOWN_VALUES, content_hash, is_known, normalize_name
 from weftgraph.operators import lookup, upsert
 from weftgraph.operators.store import GraphStore
-from weftgraph.session import new_path, table
+from weftgraph.session import discard, materialize, new_path, table
 
 ENTITY = ["namespace", "entity_type", "normalized_name"]
 MENTION = ["namespace", "doc_id", "entity_type", "normalized_name"]
@@ -33,18 +33,17 @@ def located(spark: SparkSession, d: str) -> DataFrame:
     return lookup.add_name_key(rows.join(home, "doc_id"))
 
 
-def entities(spark: SparkSession, d: str) -> DataFrame:
+def entities(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     order = ["extracted_at", "doc_id", "idx", "name"]
-    return upsert.first_wins(located(spark, d), ENTITY, order).select(*ENTITY, "name", F.unix_millis(F.col("extracted_at").cast("timestamp")).alias("created_at"))
+    return upsert.first_wins(rows or located(spark, d), ENTITY, order).select(*ENTITY, "name", F.unix_millis(F.col("extracted_at").cast("timestamp")).alias("created_at"))
 
 
-def mentions(spark: SparkSession, d: str) -> DataFrame:
-    rows = located(spark, d)
-    return upsert.last_wins(rows, MENTION, ["extracted_at", "idx", "confidence", "name"]).select(*MENTION, "confidence")
+def mentions(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    return upsert.last_wins(rows or located(spark, d), MENTION, ["extracted_at", "idx", "confidence", "name"]).select(*MENTION, "confidence")
 
 
-def relations(spark: SparkSession, d: str) -> DataFrame:
-    ends = upsert.first_wins(located(spark, d), ["doc_id", "idx"], ["extracted_at", "entity_type", "name", "confidence"]).select("doc_id", "idx", *ENTITY)
+def relations(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    ends = upsert.first_wins(rows or located(spark, d), ["doc_id", "idx"], ["extracted_at", "entity_type", "name", "confidence"]).select("doc_id", "idx", *ENTITY)
     src = ends.toDF("doc_id", "from_index", "namespace", "src_type", "src_norm")
     dst = ends.drop("namespace").toDF("doc_id", "to_index", "dst_type", "dst_norm")
     rel = table(spark, d, "extracted_relations").select("doc_id", "rel_pos", "from_index", "to_index", F.upper("relation_type").alias("rel_type"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "extracted_at").distinct()
@@ -65,8 +64,11 @@ def stored(spark: SparkSession, d: str) -> GraphStore:
     key = (spark.sparkContext.applicationId, d, *stamp)
     if key not in _stored:
         store = GraphStore(spark, new_path(spark, "graph"))
-        for name, make in (("docs", docs), ("entities", entities), ("mentions", mentions), ("relations", relations)):
-            store.replace(name, make(spark, d))
+        rows = materialize(located(spark, d), "located")
+        store.replace("docs", docs(spark, d))
+        for name, make in (("entities", entities), ("mentions", mentions), ("relations", relations)):
+            store.replace(name, make(spark, d, rows))
+        discard(rows)
         _stored[key] = store
     return _stored[key]
 
