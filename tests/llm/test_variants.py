@@ -105,3 +105,19 @@ def test_rarest_token_finds_all_that_compares(spark):
             if forms[a] != forms[b] and SPELLER.compare(forms[a], ones(forms[a]), forms[b], ones(forms[b])) == 2:
                 assert (b, a) in got, (a, b)
     assert v.Speller().soft_match("ted", "theodore") == 0 and SPELLER.soft_match("ted", "theodore") == 0.85
+
+
+def test_two_swaps_in_a_long_token(spark):
+    """Tokens too long for deletions meet by their grams: two swaps leave 11 of 19, a Jaccard of 0.41."""
+    got = link(spark, ["Theodore Bdikavolumetrosanip", "Theodore Bdiakvolumetorsanip"])
+    assert got == {("Theodore Bdiakvolumetorsanip", "Theodore Bdikavolumetrosanip")}
+
+
+def test_nothing_is_broadcast(spark):
+    """Of no table, however small, a copy is built on the driver."""
+    token = spark.createDataFrame([("partners",), ("ptnrs",)], "token string")
+    linked = spark.createDataFrame([("a", "x"), ("b", "x")], "name string, entity string")
+    sent = spark.sparkContext.broadcast(SPELLER)
+    for df in (v.soft_pairs(token, sent), v.variant_pairs(linked)):
+        assert df.count() == 1
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,7 @@
 """Problem 7: linking variant spellings of names.
 
-Names become *forms* (sorted plain tokens). Tokens that look alike are found by a prefix-filtered set-similarity join on their q-grams and, completely
-for what the verifier accepts, by deletion neighbourhoods (slips) and by prefixes and consonants (abbreviations). Candidate forms are verified by a soft
+Names become *forms* (sorted plain tokens). Tokens that look alike are found, completely for what the verifier accepts, by deletion neighbourhoods (slips), by
+prefixes and consonants (abbreviations) and, where they are too long for deletions, by a prefix-filtered set-similarity join on their q-grams. Candidate forms are verified by a soft
 weighted token alignment in which rare tokens count more. Pairs that leave a token of both sides unmatched are different names (relatives, sister
 companies); pairs in which one side lacks or abbreviates a token down to an initial are *weak*: they link only if all they could mean is one entity.
 Aliases given by responses link further.
@@ -27,7 +27,7 @@ from weftgraph.llm.setjoin import similarity_join, word_grams
 from weftgraph.session import discard, materialize
 
 GRAM = 3
-THRESHOLD = 0.45
+THRESHOLD = 0.4
 SOFT = 0.8
 SHORT = 16
 
@@ -198,11 +198,18 @@ def soft_pairs(tokens: DataFrame, speller) -> DataFrame:
 
     # 64-bit hashes of the keys are shuffled; what meets by chance is dropped by the verifier
     keys = tokens.filter(F.length("token") > 1).select("token").mapInArrow(spread, "token string, key string, side int").select("token", F.xxhash64("key").alias("key"), "side")
-    met = keys.join(keys.toDF("other", "key", "other_side"), "key").filter("token <> other AND (side = 0 AND other_side = 0 OR side = 1 AND other_side = 2)")
+    met = keys.hint("merge").join(keys.toDF("other", "key", "other_side"), "key").filter("token <> other AND (side = 0 AND other_side = 0 OR side = 1 AND other_side = 2)")
     pairs = met.select(F.least("token", "other").alias("token"), F.greatest("token", "other").alias("other")).distinct()
     return pairs.mapInArrow(verify, "token string, other string")
 
 
+def long_slips(tokens: DataFrame) -> DataFrame:
+    """``(token, other)``, token < other: pairs of tokens longer than ``SHORT`` that two slips may part, those ``soft_pairs`` leaves out; shorter ones meet there."""
+    words = tokens.filter(F.length("token") > SHORT).select("token", word_grams(F.col("token"), GRAM).alias("grams"))
+    near = similarity_join(words, words, "token", "grams", THRESHOLD, same=True).select(F.col("left_key").alias("token"), F.col("right_key").alias("other"))
+    return near.filter((F.abs(F.length("token") - F.length("other")) <= 2) & (F.levenshtein("token", "other") <= 4))
+
+
 def response_aliases(responses: DataFrame) -> DataFrame:
     """``(name, alias)`` of the entities in model responses; what can't be read gives no row."""
     fence = re.compile(r"```(?:json)?\s*\n(.*?)\n```", re.S)
@@ -234,6 +241,7 @@ def link_variants(names: DataFrame, aliases: DataFrame, dictionary: DataFrame, n
     ``aliases`` are pairs (name, alias) as written; ``dictionary`` is (key, value, line_no), the last line of a key counts; ``nicknames`` is (short, full), of a short form with several
     full ones the least counts. These two are hand-written files and sent to all tasks. Null, blank and meaningless names are left out, repeated names count once. An alias counts
     where name and alias are, but for their writing, known names and the alias does not go with more than two entities. Empty tables give no rows.
+    All joins are merge joins: every broadcast, however small, takes pages of 4 MB and more of the driver.
     """
     spark = names.sparkSession
     held: list[DataFrame] = []
@@ -258,24 +266,20 @@ def link_variants(names: DataFrame, aliases: DataFrame, dictionary: DataFrame, n
     counts = each.groupBy("token").agg(F.count("*").alias("n"))
     total = max(1, forms.count())
     counts = keep(counts, "tokens")
-    words_of = counts.filter(F.length("token") >= 4).select("token", word_grams(F.col("token"), GRAM).alias("grams"))
-    near = similarity_join(words_of, words_of, "token", "grams", THRESHOLD, same=True).select(F.col("left_key").alias("token"), F.col("right_key").alias("other"))
-    slips = F.when(F.least(F.length("token"), F.length("other")) >= 8, 4).otherwise(2)
-    near = near.filter((F.abs(F.length("token") - F.length("other")) <= 2) & (F.levenshtein("token", "other") <= slips))
-    near = near.unionByName(soft_pairs(counts, sent)).distinct()
+    near = keep(long_slips(counts).unionByName(soft_pairs(counts, sent)).distinct(), "near")
     alike = keep(near.unionByName(near.select(F.col("other").alias("token"), F.col("token").alias("other"))), "alike")
     # a slip in a frequent word is not a rare token: it counts as often as the word it looks like
-    often = alike.join(counts.toDF("other", "m"), "other").groupBy("token").agg(F.sum("m").alias("m"))
-    rarity = keep(counts.join(often, "token", "left").select("token", "n", (F.col("n") + F.coalesce("m", F.lit(0))).alias("r")), "rarity")
+    often = alike.hint("merge").join(counts.toDF("other", "m"), "other").groupBy("token").agg(F.sum("m").alias("m"))
+    rarity = keep(counts.hint("merge").join(often, "token", "left").select("token", "n", (F.col("n") + F.coalesce("m", F.lit(0))).alias("r")), "rarity")
     weight = F.log1p(F.lit(total) / F.col("n"))
-    ranked = each.join(rarity, "token")
+    ranked = each.hint("merge").join(rarity, "token")
     rarest = F.min(F.when(F.length("token") > 1, F.struct("r", "token"))).alias("rarest")
     weighed = ranked.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("token", weight.alias("w")))).alias("t"), rarest)
     weighed = keep(weighed.select("form", F.col("t.token").alias("tokens"), F.col("t.w").alias("weights"), F.col("rarest.token").alias("rarest")), "forms")
 
     asked = weighed.filter("rarest IS NOT NULL").select(F.col("form").alias("a"), F.col("rarest").alias("token"))
-    asked = asked.unionByName(asked.join(alike, "token").select("a", F.col("other").alias("token")))
-    pairs = asked.join(each.toDF("b", "token"), "token").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    asked = asked.unionByName(asked.hint("merge").join(alike, "token").select("a", F.col("other").alias("token")))
+    pairs = asked.hint("merge").join(each.toDF("b", "token"), "token").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = [weighed.select(F.col("form").alias(s), F.col("tokens").alias(f"t{s}"), F.col("weights").alias(f"w{s}")) for s in "ab"]
 
     def verify(batches):
@@ -286,36 +290,36 @@ def link_variants(names: DataFrame, aliases: DataFrame, dictionary: DataFrame, n
             rows = [(a[k], b[k]) if how[k] > 0 else (b[k], a[k]) for k in at]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([abs(how[k]) == 2 for k in at], pa.bool_())], ["a", "b", "strong"])
 
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "wa", "tb", "wb")
+    joined = pairs.hint("merge").join(sides[0], "a").hint("merge").join(sides[1], "b").select("a", "b", "ta", "wa", "tb", "wb")
     links = keep(joined.mapInArrow(verify, "a string, b string, strong boolean"), "links")
     first = hash_to_min(links.filter("strong"))
-    entity = keep(forms.join(first.withColumnRenamed("vertex", "form"), "form", "left").select("form", F.coalesce("group_min", "form").alias("e")), "entities")
+    entity = keep(forms.hint("merge").join(first.withColumnRenamed("vertex", "form"), "form", "left").select("form", F.coalesce("group_min", "form").alias("e")), "entities")
 
     a_side, b_side = entity.toDF("a", "ea"), entity.toDF("b", "eb")
-    weak = links.filter("NOT strong").join(a_side, "a").join(b_side, "b").filter("ea <> eb").select("ea", "eb").distinct()
+    weak = links.filter("NOT strong").hint("merge").join(a_side, "a").hint("merge").join(b_side, "b").filter("ea <> eb").select("ea", "eb").distinct()
     # what a weak form could mean may itself be weak: only ends that are not count, where there are any
-    ends = weak.join(weak.select(F.col("ea").alias("eb")).distinct().withColumn("open", F.lit(True)), "eb", "left")
+    ends = weak.hint("merge").join(weak.select(F.col("ea").alias("eb")).distinct().withColumn("open", F.lit(True)), "eb", "left")
     meant = ends.groupBy("ea").agg(F.count("*").alias("n"), F.count_if(F.col("open").isNull()).alias("n_full"), F.max("eb").alias("any"), F.max(F.when(F.col("open").isNull(), F.col("eb"))).alias("full"))
     meant = keep(meant.select("ea", F.when(F.col("n_full") == 1, F.col("full")).when((F.col("n_full") == 0) & (F.col("n") == 1), F.col("any")).alias("eb")), "weak")
 
-    known = spelled.join(entity, "form").select("name", "e")
+    known = spelled.hint("merge").join(entity, "form").select("name", "e")
     given = aliases.select("name", "alias").filter("name <> alias").distinct().filter(is_known("name") & is_known("alias"))
 
     def said_rows(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(sent.value.tokens_of(n)) for n in c.to_pylist()], pa.string()) for c in batch.columns], ["a", "b"])
 
-    said = given.mapInArrow(said_rows, "a string, b string").filter("a <> b").distinct().join(a_side, "a").join(b_side, "b").filter("ea <> eb")
+    said = given.mapInArrow(said_rows, "a string, b string").filter("a <> b").distinct().hint("merge").join(a_side, "a").hint("merge").join(b_side, "b").filter("ea <> eb")
     generic = said.groupBy("b").agg(F.count_distinct("ea").alias("n")).filter("n > 2").select("b")
-    said = said.join(generic, "b", "left_anti").select("ea", "eb").distinct()
+    said = keep(said.hint("merge").join(generic, "b", "left_anti").select("ea", "eb").distinct(), "said")  # read three times below
     unclear = meant.filter("eb IS NULL").select("ea")
     # an alias of, or with, a form that may mean several entities settles what it means only if it is the one such
     both = said.unionByName(said.select(F.col("eb").alias("ea"), F.col("ea").alias("eb"))).distinct()
-    settled = both.join(unclear, "ea").join(unclear.toDF("eb"), "eb", "left_anti").groupBy("ea").agg(F.count("*").alias("n"), F.max("eb").alias("eb")).filter("n = 1").select("ea", "eb")
-    plain = said.join(unclear, "ea", "left_anti").join(unclear.toDF("eb"), "eb", "left_anti")
+    settled = both.hint("merge").join(unclear, "ea").hint("merge").join(unclear.toDF("eb"), "eb", "left_anti").groupBy("ea").agg(F.count("*").alias("n"), F.max("eb").alias("eb")).filter("n = 1").select("ea", "eb")
+    plain = said.hint("merge").join(unclear, "ea", "left_anti").hint("merge").join(unclear.toDF("eb"), "eb", "left_anti")
     edges = keep(meant.filter("eb IS NOT NULL").unionByName(settled).unionByName(plain).distinct(), "edges")
     last = hash_to_min(edges, "ea", "eb").toDF("e", "entity")
-    out = materialize(known.join(last, "e", "left").select("name", F.coalesce("entity", "e").alias("entity")), "linked")
+    out = materialize(known.hint("merge").join(last, "e", "left").select("name", F.coalesce("entity", "e").alias("entity")), "linked")
     for df in held:
         discard(df)
     return out
@@ -324,4 +328,4 @@ def link_variants(names: DataFrame, aliases: DataFrame, dictionary: DataFrame, n
 def variant_pairs(linked: DataFrame) -> DataFrame:
     """All pairs of different spellings of an entity, name_a < name_b: the stated result, as large as the entities' spellings make it."""
     a, b = linked.select("entity", F.col("name").alias("name_a")), linked.select("entity", F.col("name").alias("name_b"))
-    return a.join(b, "entity").filter("name_a < name_b").select("name_a", "name_b")
+    return a.hint("merge").join(b, "entity").filter("name_a < name_b").select("name_a", "name_b")
