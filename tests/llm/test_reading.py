@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftgraph.llm import reading as r
 
@@ -60,3 +61,36 @@ def test_held_out_accuracy_and_dirty_rows(spark):
     none = r.reading_levels(d, g.limit(0)).collect()
     assert len(none) == len(docs) and all(x.level is None for x in none)
     assert r.reading_levels(d.limit(0), g).collect() == []
+
+
+def test_all_graded_documents_count(spark):
+    """Words that only the last of many graded documents bring are known: none is left out of training."""
+    rng = random.Random(5)
+    docs = [(k, f"the cat of the dog. a {SETS[k % 5][k % 6]} of the sun.") for k in range(4_400)] + [(10_000 + k, text(rng, k % 5 + 1)) for k in range(60)]
+    common = spark.createDataFrame(docs, "doc_id bigint, text string")
+    grades = spark.createDataFrame([(k, k % 5 + 1) for k, _ in docs], "doc_id bigint, grade int")
+    # the documents that a sample in the order of hashes takes last
+    late = [x.doc_id for x in grades.orderBy(F.xxhash64("doc_id").desc()).limit(100).collect()]
+    rare = common.withColumn("text", F.when(F.col("doc_id").isin(late), F.concat("text", F.lit(" Zyx qwv. Zyx qwv."))).otherwise(F.col("text")))
+    state = r.train_model(rare, grades)
+    known = {x.word: x.known for x in spark.read.parquet(state["words"]).filter("word in ('zyx', 'qwv')").collect()}
+    assert known == {"zyx": [True] * 3, "qwv": [True] * 3}
+    vocabulary = sorted(x.word for x in spark.read.parquet(state["words"]).collect())
+    code = (vocabulary.index("zyx") + 2) * (len(vocabulary) + 2) + vocabulary.index("qwv") + 2
+    counted = spark.read.parquet(state["counts"]).filter(f"m = {r.WHOLE} AND code = {code}").first()
+    assert abs(sum(counted[f"w{g}"] for g in range(r.GRADES)) / r.STEP - 200) < 1e-3
+
+
+def test_parts_make_the_whole():
+    """Counts, sums and monotone blocks of parts are those of all texts."""
+    rng = np.random.default_rng(6)
+    f, y = rng.normal(size=(400, 3 + 2 * r.GRADES + 2 * len(r.QUANTILES))), rng.integers(1, 6, 400).astype(float)
+    assert np.allclose(r.moments(f, y), r.moments(f[:150], y[:150]) + r.moments(f[150:], y[150:]))
+    x = np.delete(f, (1, 2), axis=1)
+    z = (x - x.mean(0)) / x.std(0)
+    assert np.allclose(r.fit_line(r.moments(f, y))["weight"], np.linalg.solve(z.T @ z + r.RIDGE * np.eye(z.shape[1]), z.T @ (y - y.mean())))
+    order = np.argsort(f[:, 0])
+    rows = [(y[k], 1.0, f[k, 0], f[k, 0]) for k in order]
+    whole = r.knots_of(r.pool([], rows))
+    parts = r.knots_of(r.pool([], [b for a in range(0, 400, 90) for b in r.pool([], rows[a : a + 90])]))
+    assert np.allclose(whole, parts)
